@@ -1,0 +1 @@
+"""The linkage data model is batch only; incremental arrivals go through micro-batches of the same DataFrame operators."""

@@ -5,8 +5,8 @@ speech and target are composed into one machine that rewrites the tags of a clau
 plain, negated, reported or both, and as aimed at somebody or not. The document's score is a logistic function of the
 weights of its matched clauses. The insult lexicon, its weights and the logistic weights are learned from labels.
 
-Learning reads a bounded, hash-drawn sample of labelled rows (``sample_rows`` expected). Words are chosen greedily by
-the toxic documents they add, so that other words of copied toxic documents aren't taken for insults.
+Learning reads a bounded, hash-drawn sample of labelled rows (``sample_rows`` expected). Documents with the same minimum
+word hash count as one, so that the other words of copied toxic documents aren't taken for insults.
 
 Edge cases: null or empty text matches nothing and gets the base score; a clause reaches 25 tokens to either side of a
 match at most, so text without punctuation stays linear; without labels the seed lists decide; repeated rows give equal
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,11 +224,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(_vocabulary(t.as_py()) & wanted.value) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], ["words", "toxic"])
-
-    table = rows.select("text", "toxic").mapInArrow(incidence, "words array<string>, toxic int").where("size(words) > 0").groupBy("words", "toxic").agg(F.count("*").alias("n")).collect()
-    insults = _choose([(frozenset(r["words"]), r["toxic"] > 0, r["n"]) for r in table], n1, n0, max_words)
+            vocabularies = [_vocabulary(t.as_py()) for t in batch.column(0)]
+            found = [sorted(v & wanted.value) for v in vocabularies]
+            least = [min(map(xxhash.xxh3_64_intdigest, v - wanted.value), default=0) >> 1 for v in vocabularies]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1), pa.array(least, pa.int64())], ["words", "toxic", "least"])
+
+    table = rows.select("text", "toxic").mapInArrow(incidence, "words array<string>, toxic int, least long").select(F.explode_outer("words").alias("word"), (F.col("toxic") > 0).alias("toxic"), "least")
+    distinct = table.groupBy("word", "toxic").agg(F.countDistinct("least").alias("n")).where("word IS NOT NULL").collect()
+    kinds = {r["toxic"]: r["n"] for r in rows.select("text", "toxic").mapInArrow(incidence, "words array<string>, toxic int, least long").groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.countDistinct("least").alias("n")).collect()}
+    insults = _choose({(r["word"], r["toxic"]): r["n"] for r in distinct}, kinds.get(True, 0), kinds.get(False, 0), max_words)
     model = ToxicityModel(insults or dict.fromkeys(INSULTS, 1.0), default)
     shared = spark.sparkContext.broadcast(model)
 
@@ -241,26 +246,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return ToxicityModel(model.insults, fit_logistic(x, y))
 
 
-def _choose(table: list[tuple[frozenset, bool, int]], n1: int, n0: int, max_words: int) -> dict[str, float]:
-    """Greedy cover: the word that adds most toxic documents less four times the clean ones; a copied row counts once."""
-    all_rows = [(w, t, 1) for w, t, _ in table]
-    left, out = all_rows, {}
-    total1, total0 = Counter(), Counter()
-    for w, t, n in all_rows:
-        (total1 if t else total0).update(dict.fromkeys(w, n))
-    while len(out) < max_words:
-        gain: Counter = Counter()
-        for w, t, _ in left:
-            for x in w:
-                gain[x] += 1 if t else -4
-        if not gain:
-            break
-        best = min(gain, key=lambda x: (-gain[x], -total1[x], x))
-        if gain[best] < max(3, 0.01 * n1):
-            break
-        out[best] = float(np.clip(np.log(((total1[best] + 0.5) / (n1 + 1)) / ((total0[best] + 0.5) / (n0 + 1))) / 4, 0.25, 3))
-        left = [r for r in left if best not in r[0]]
-    return out
+def _choose(counts: dict[tuple[str, bool], int], n1: int, n0: int, max_words: int, least_share: float = 0.02) -> dict[str, float]:
+    """Words in at least ``least_share`` of the toxic documents, eight times as often as in clean ones; weights are log ratios."""
+    ratios = {}
+    for word in {w for w, _ in counts}:
+        k1, k0 = counts.get((word, True), 0), counts.get((word, False), 0)
+        if k1 >= max(4, least_share * n1) and (ratio := (k1 + 0.1) / (n1 + 1) / ((k0 + 0.5) / (n0 + 1))) >= 8:
+            ratios[word] = (k1 * np.log(ratio), float(np.clip(np.log(ratio) / 4, 0.25, 3)))
+    return {w: r[1] for w, r in sorted(ratios.items(), key=lambda x: (-x[1][0], x[0]))[:max_words]}
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("matches", pa.string())])

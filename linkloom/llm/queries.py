@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from linkloom.llm.common import read_table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(read_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm.mixing import mix_sources
 
@@ -54,6 +60,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_mixing": op2_mixing,
         "op3_media_columns": op3_media_columns,
         "op7_toxicity": op7_toxicity,
@@ -62,6 +69,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP1_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS words FROM documents),
+windows AS (
+  SELECT r, doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h
+  FROM (SELECT r, doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM docs WHERE len(words) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS holder FROM windows GROUP BY h),
+hits AS (SELECT DISTINCT w.r, w.i + unnest(range(0, 50)) AS pos FROM windows w JOIN firsts f ON w.h = f.h WHERE w.doc_id > f.holder),
+each AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM docs),
+kept AS (SELECT r, list(word ORDER BY pos) AS k FROM each e ANTI JOIN hits h USING (r, pos) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(len(d.words) - coalesce(len(k), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
+FROM docs d LEFT JOIN kept USING (r)
+"""
+
 OP2_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size,
@@ -88,4 +110,4 @@ FROM summed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_mixing": OP2_SQL}

@@ -28,6 +28,12 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read_table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.llm.ngram_join import ngram_components
+
+    return ngram_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm.langid import held_out
     from linkloom.llm.toxicity import fit_toxicity, score_toxicity
@@ -63,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_mixing": op2_mixing,
         "op3_media_columns": op3_media_columns,
+        "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_toxicity": op7_toxicity,
         "op9_language_id": op9_language_id,
         "op10_pii": op10_pii,
@@ -109,5 +116,26 @@ FROM summed
 """
 
 
+OP6_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') END AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, label) AS (
+  SELECT a, a FROM edges
+  UNION
+  SELECT e.b, r.label FROM reach r JOIN edges e ON r.doc_id = e.a WHERE r.label < e.b),
+lowest AS (SELECT doc_id, min(label) AS label FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(label, d.doc_id) AS component_id
+FROM docs d LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_mixing": OP2_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op6_ngram_jaccard_join": OP6_SQL}

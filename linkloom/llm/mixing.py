@@ -65,8 +65,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     targets = source_targets(sizes, weights, share, max_epochs)
     targets = targets.withColumns({"named": F.coalesce("source", F.lit("")), "unnamed": F.col("source").isNull(), "ranges": F.ceil(F.col("n_docs") / rows_per_range)}).drop("source", "n_docs")
     rows = rows.withColumns({"named": F.coalesce("source", F.lit("")), "unnamed": F.col("source").isNull()})
-    dealt = rows.join(targets, ["named", "unnamed"]).withColumn("range", F.floor(F.col("key") / float(1 << KEY_BITS) * F.col("ranges")).cast("long"))
     part = ["named", "unnamed", "range"]
+    dealt = rows.join(targets, ["named", "unnamed"]).withColumn("range", F.floor(F.col("key") / float(1 << KEY_BITS) * F.col("ranges")).cast("long"))
+    dealt = dealt.repartition(*part)  # the join's partitioning by source would also serve the steps below, with a hot source in one task
     offsets = dealt.groupBy(part).agg(F.sum("size").alias("range_size"))
     across = Window.partitionBy("named", "unnamed").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select(*part, F.coalesce(F.sum("range_size").over(across), F.lit(0)).alias("offset"))

@@ -28,6 +28,20 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read_table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.llm.common import Scratch
+    from linkloom.llm.sharding import shard_documents
+
+    store = shard_documents(read_table(spark, sf_dir, "documents"), Scratch(spark, "shards").root)
+    return store.read().select("doc_id", "shard", "tier", "version", "source", "lang", "n_chars", F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.llm.decontam import find_leaks
+
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm.ngram_join import ngram_components
 
@@ -44,6 +58,35 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "matches")
 
 
+def dated_captures(pages: DataFrame) -> DataFrame:
+    """The pages as captures: the fetch day is drawn from the page's id, as the table has none."""
+    day = F.pmod(F.col("page_id") * 7919, F.lit(1000)).cast("int")
+    return pages.select("page_id", "url", F.date_add(F.lit("2022-01-01").cast("date"), day).alias("fetched"))
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """List events drawn from hashes of the hosts: three lists, adds, removes and second adds."""
+    from linkloom.llm.url_filters import url_host
+
+    hosts = pages.select(url_host(F.col("url")).alias("pattern")).where("pattern IS NOT NULL").distinct()
+    lists = hosts.withColumn("list", F.explode(F.array(*[F.lit(x) for x in ("adult", "malware", "spam")])))
+    number = lambda at: F.conv(F.substring("h", at, 4), 16, 10).cast("int")
+    drawn = lists.withColumn("h", F.md5(F.concat_ws("|", "list", "pattern").cast("binary"))).where(F.col("h") < "8")
+    start = F.date_add(F.lit("2022-01-01").cast("date"), number(2) % 700)
+    first = drawn.select("list", "pattern", start.alias("at"), F.lit("add").alias("action"), "h")
+    gone = first.where(F.substring("h", 6, 1) < "c").select("list", "pattern", F.date_add("at", 30 + number(7) % 200).alias("at"), F.lit("remove").alias("action"), "h")
+    again = gone.where(F.substring("h", 11, 1) < "8").select("list", "pattern", F.date_add("at", 10 + number(12) % 100).alias("at"), F.lit("add").alias("action"), "h")
+    return first.unionByName(gone).unionByName(again).select("list", "pattern", "at", "action")
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkloom.llm.url_filters import filter_captures
+
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    found = filter_captures(dated_captures(pages), dated_entries(pages))
+    return found.select(F.col("capture_id").alias("page_id"), "url", F.col("fetched").cast("string").alias("fetched"), "verdict", "n_entries", "lists", F.col("listed_since").cast("string").alias("listed_since"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.llm.langid import fit_language_model, held_out, identify_languages
 
@@ -69,8 +112,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_mixing": op2_mixing,
         "op3_media_columns": op3_media_columns,
+        "op4_sharding": op4_sharding,
+        "op5_decontamination": op5_decontamination,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_toxicity": op7_toxicity,
+        "op8_url_filters": op8_url_filters,
         "op9_language_id": op9_language_id,
         "op10_pii": op10_pii,
     }
@@ -137,5 +183,32 @@ FROM docs d LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest USING (doc_id)
 """
 
 
+OP8_SQL = r"""
+WITH captures AS (
+  SELECT DISTINCT page_id, url, DATE '2022-01-01' + CAST((page_id * 7919) % 1000 AS INTEGER) AS fetched,
+         nullif(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '[.]$', '')), '') AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) AS segment
+  FROM pages),
+drawn AS (
+  SELECT * FROM (SELECT list, host AS pattern, md5(list || '|' || host) AS h FROM (SELECT DISTINCT host FROM captures WHERE host IS NOT NULL), (VALUES ('adult'), ('malware'), ('spam')) l(list))
+  WHERE h < '8'),
+first AS (SELECT list, pattern, h, DATE '2022-01-01' + CAST(CAST('0x' || substr(h, 2, 4) AS INTEGER) % 700 AS INTEGER) AS day FROM drawn),
+gone AS (SELECT list, pattern, h, day + CAST(30 + CAST('0x' || substr(h, 7, 4) AS INTEGER) % 200 AS INTEGER) AS day FROM first WHERE substr(h, 6, 1) < 'c'),
+again AS (SELECT list, pattern, h, day + CAST(10 + CAST('0x' || substr(h, 12, 4) AS INTEGER) % 100 AS INTEGER) AS day FROM gone WHERE substr(h, 11, 1) < '8'),
+valid AS (
+  SELECT f.list, f.pattern, f.day AS valid_from, g.day AS valid_to FROM first f LEFT JOIN gone g USING (list, pattern)
+  UNION ALL SELECT list, pattern, day, NULL FROM again),
+keys AS (
+  SELECT page_id, url, fetched, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')) || CASE WHEN segment <> '' THEN [host || '/' || segment] ELSE [] END) AS key
+  FROM captures WHERE host IS NOT NULL),
+found AS (
+  SELECT page_id, url, fetched, count(DISTINCT (list, pattern)) AS n_entries, array_to_string(list_sort(list_distinct(list(list))), ',') AS lists, min(valid_from) AS since
+  FROM keys JOIN valid ON key = pattern AND valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to) GROUP BY 1, 2, 3)
+SELECT c.page_id, c.url, CAST(c.fetched AS VARCHAR) AS fetched, CASE WHEN n_entries > 0 THEN 'block' ELSE 'allow' END AS verdict,
+       coalesce(n_entries, 0) AS n_entries, coalesce(lists, '') AS lists, CAST(since AS VARCHAR) AS listed_since
+FROM captures c LEFT JOIN found f ON c.page_id = f.page_id AND c.url IS NOT DISTINCT FROM f.url AND c.fetched = f.fetched
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op6_ngram_jaccard_join": OP6_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op8_url_filters": OP8_SQL}

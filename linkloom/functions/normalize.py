@@ -31,13 +31,12 @@ def to_ascii(text: str) -> str:
     return text if text.isascii() else "".join(c if c.isascii() else _letters(c) for c in text)
 
 
-@F.pandas_udf("string")
-def _transliterated(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: to_ascii(x) if x is not None else "")
-
-
 def transliterate(col: Column) -> Column:
-    return _transliterated(F.coalesce(col, F.lit("")))
+    @F.pandas_udf("string")
+    def transliterated(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: to_ascii(x) if x is not None else "")
+
+    return transliterated(F.coalesce(col, F.lit("")))
 
 
 def token_map(table: dict[str, str]) -> Column:

@@ -254,6 +254,9 @@ CLEAN_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(r
 PLAIN = r"regexp_replace(text, '[^\x00-\x7F]+', ' ', 'g')"
 
 
+DOMAIN_SQL = r"regexp_replace({0}, '(?:https?://)?(?:www\.)?([a-z0-9][a-z0-9-]*)\.(?:com|net|org|in|co\.in|fr|biz|us|info)\b', ' \1 ', 'gi')"
+
+
 def plain_text():
     return F.regexp_replace("text", r"[^\x00-\x7F]+", " ")
 
@@ -275,7 +278,7 @@ def sql_map(table_: dict[str, str]) -> str:
     return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table_.items()) + "}"
 
 
-@query(f"WITH canon(k, v) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in D.LEGAL_CANON.items())}), toks AS (SELECT doc_id, i, {LEET_SQL.format('t')} AS t FROM (SELECT doc_id, unnest(list_filter(string_split(c, ' '), lambda x: x <> '')) AS t, unnest(range(1, 1 + len(list_filter(string_split(c, ' '), lambda x: x <> '')))) AS i FROM (SELECT doc_id, {CLEAN_SQL.format(PLAIN)} AS c FROM documents))) SELECT doc_id, string_agg(coalesce(v, t), ' ' ORDER BY i) AS tokens FROM toks LEFT JOIN canon ON t = k GROUP BY doc_id")
+@query(f"WITH canon(k, v) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in D.LEGAL_CANON.items())}), toks AS (SELECT doc_id, i, {LEET_SQL.format('t')} AS t FROM (SELECT doc_id, unnest(list_filter(string_split(c, ' '), lambda x: x <> '')) AS t, unnest(range(1, 1 + len(list_filter(string_split(c, ' '), lambda x: x <> '')))) AS i FROM (SELECT doc_id, {CLEAN_SQL.format(DOMAIN_SQL.format(PLAIN))} AS c FROM documents))) SELECT doc_id, string_agg(coalesce(v, t), ' ' ORDER BY i) AS tokens FROM toks LEFT JOIN canon ON t = k GROUP BY doc_id")
 def norm_tokens(spark, sf):
     out = table(spark, sf, "documents").select("doc_id", N.name_tokens(plain_text(), None, True).alias("t"))
     return out.where(F.size("t") > 0).select("doc_id", F.array_join("t", " ").alias("tokens"))
@@ -550,12 +553,12 @@ def win_context(spark, sf):
 
 @query(
     f"""WITH {BOTH}, r AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, o_id) AS rs, row_number() OVER (PARTITION BY o_id ORDER BY score DESC, s1_id) AS rc, CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END AS hi FROM cand)
-SELECT s1_id, o_id, rc AS l1_rank_o, rs AS l1_rank_s1, sum(hi) OVER c AS l1_n_hi_o, round(sum(score) OVER c, 5) AS l1_sum_o, sum(hi) OVER s AS l1_n_hi_s1, round(sum(score) OVER s, 5) AS l1_sum_s1, max(score) OVER s AS l1_max_s1,
+SELECT s1_id, o_id, rc AS l1_rank_o, rs AS l1_rank_s1, sum(hi) OVER c AS l1_n_hi_o, round(sum(score) OVER c, 6) AS l1_sum_o, sum(hi) OVER s AS l1_n_hi_s1, round(sum(score) OVER s, 6) AS l1_sum_s1, max(score) OVER s AS l1_max_s1,
 CASE WHEN rc = 1 THEN 1.0 ELSE 0.0 END AS l1_is_best_o, sum(CASE WHEN rc = 1 THEN hi ELSE 0 END) OVER s AS l1_n_assigned_s1 FROM r WINDOW s AS (PARTITION BY s1_id), c AS (PARTITION BY o_id)"""
 )
 def win_level_two(spark, sf):
     out = W.level_two_columns(scored_pairs(spark, sf))
-    return out.select("s1_id", "o_id", "l1_rank_o", "l1_rank_s1", "l1_n_hi_o", F.round("l1_sum_o", 5).alias("l1_sum_o"), "l1_n_hi_s1", F.round("l1_sum_s1", 5).alias("l1_sum_s1"), "l1_max_s1", "l1_is_best_o", "l1_n_assigned_s1")
+    return out.select("s1_id", "o_id", "l1_rank_o", "l1_rank_s1", "l1_n_hi_o", F.round("l1_sum_o", 6).alias("l1_sum_o"), "l1_n_hi_s1", F.round("l1_sum_s1", 6).alias("l1_sum_s1"), "l1_max_s1", "l1_is_best_o", "l1_n_assigned_s1")
 
 
 EXPECTED = """e AS (SELECT user_id AS s1_id, event_id AS o_id, value / (1 + value) AS p, row_number() OVER (PARTITION BY user_id ORDER BY value / (1 + value) DESC, event_id) AS k FROM (SELECT user_id, event_id, abs(value) AS value FROM events WHERE value IS NOT NULL)),

@@ -5,9 +5,10 @@ their prefixes of n - ceil(t n) + 1 tokens under every order of all tokens, and
 ceil(t/(1+t) (n+m)) - max(n - p, m - q) tokens. The orders put frequent tokens last and differ in a hash; candidates must
 pass under all of them before they are verified on the whole sets.
 
-Groups of near copies never become all pairs: equal sets are one node; then, order by order, every node is verified
+Groups of near copies never become all pairs: equal sets are one node; then, in a few rounds, every node is verified
 against the centre of its token groups with which it shares most, and connected nodes take one label. Only pairs across
-labels are then enumerated, filtered under all orders and verified, so no link between components is lost.
+labels are then enumerated from the first order's prefixes; the other orders' prefixes of the nodes that are left are
+intersected pair by pair, and what passes all orders is verified, so no link between components is lost.
 
 Which tokens are frequent is counted over all documents; the list that is broadcast holds the ``hot_bound`` most frequent
 at most, and any list is right, as it only moves tokens in the order.
@@ -64,28 +65,15 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _describe(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.as_py(), k) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], schema=schema)
-
-    return run
-
-
-def _count_prefixes(k: int, percent: int):
-    """(token, n): how often a token stands in a prefix under a plain hash order."""
-    schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
+def _describe(k: int, percent: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.uint64)
         for batch in batches:
-            found = [prefix_of(s, 0, none, percent) for t in batch.column(0) if len(s := shingles(t.as_py(), k))]
-            if found:
-                tokens, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(to_signed(tokens)), pa.array(n.astype(np.int64))], schema=schema)
+            sets = [shingles(t.as_py(), k) for t in batch.column(1)]
+            prefixes = [to_signed(prefix_of(s, 0, none, percent)) if len(s) else [] for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -157,16 +145,18 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     return labels if labels is not None else spark.createDataFrame([], "node long, label long")
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, orders: int = 3, frequent: int = 24, hot_bound: int = 1_000_000) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, orders: int = 3, rounds: int = 3, frequent: int = 24, hot_bound: int = 1_000_000, broadcast_bound: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), n_class (documents with the same set), node."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = scratch.save(source.mapInArrow(_describe(k), "doc_id long, n long, node long"), "base")
+    described = scratch.save(source.mapInArrow(_describe(k, percent), "doc_id long, n long, node long, prefix array<long>"), "described")
+    base = scratch.save(described.select("doc_id", "n", "node"), "base")
 
-    counts = source.select("text").where("text IS NOT NULL").mapInArrow(_count_prefixes(k, percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = described.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     top = counts.where(F.col("n") > frequent).orderBy(F.desc("n"), "token").limit(hot_bound).select("token")
     hot = spark.sparkContext.broadcast(np.sort(np.array(top.toArrow().column(0).to_numpy(), np.int64).view(np.uint64)))
+    scratch.drop("described")
     release_shuffles(spark)
 
     # one row a distinct set; its first order's prefix
@@ -176,54 +166,62 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = scratch.save(nodes, "nodes")
     release_shuffles(spark)
 
-    def shared_tokens(pairs: DataFrame, name: str) -> DataFrame:
-        """(token, node) of the tokens that stand in several nodes' prefixes."""
-        over = Window.partitionBy("token")
-        seen = pairs.withColumns({"low": F.min("node").over(over), "high": F.max("node").over(over)})
-        return scratch.save(seen.where("low < high").select("token", "node"), name)
-
-    postings = [shared_tokens(nodes.select("node", F.explode("prefix").alias("token")), "postings-0")]
-    release_shuffles(spark)
-    live = postings[0].select("node").distinct().join(nodes.select("node", "rep", "n"), "node")
-    named = live.where("rep IS NOT NULL").join(source.withColumnRenamed("doc_id", "rep"), "rep").select("node", "n", "text")
-    unnamed = live.where("rep IS NULL").select("node", "n").join(source.where("doc_id IS NULL AND text IS NOT NULL").mapInArrow(_with_node(k), "node long, text string"), "node").select("node", "n", "text")
-    texts = scratch.save(named.unionByName(unnamed).mapInArrow(_own_text(k), "node long, n long, text string"), "texts")
+    over = Window.partitionBy("token")
+    seen = nodes.select("node", "n", F.explode("prefix").alias("token")).withColumns({"low": F.min("node").over(over), "high": F.max("node").over(over)})
+    postings = scratch.save(seen.where("low < high").select("token", "node", "n"), "postings")
     release_shuffles(spark)
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    rest = F.greatest(*[F.ceil(F.lit(percent) * F.col(c) / 100) - 1 for c in ("n_a", "n_b")])
+    least_shared = F.greatest(F.lit(1), need - rest)
+    sizes_fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+
+    def texts_of(chosen: DataFrame, name: str) -> DataFrame:
+        """(node, text) of the chosen nodes; a short list of ids goes to the documents, else both meet in a shuffle."""
+        live = scratch.save(chosen.distinct().join(nodes.select("node", "rep"), "node"), f"{name}-nodes")
+        short = live.count() <= broadcast_bound
+        send = F.broadcast if short else (lambda df: df)
+        named = source.withColumnRenamed("doc_id", "rep").join(send(live.where("rep IS NOT NULL")), "rep").select("node", "text")
+        unnamed = source.where("doc_id IS NULL AND text IS NOT NULL").mapInArrow(_with_node(k), "node long, text string").join(send(live.where("rep IS NULL").select("node")), "node").select("node", "text")
+        return scratch.save(named.unionByName(unnamed).mapInArrow(_own_text(k), "node long, text string"), name)
+
+    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a long, b long")
 
     labels = None
-    for order in range(orders):
-        if order:
-            pairs = texts.select(F.lit(0).cast("long").alias("id"), "text").mapInArrow(_prefix_arrays(k, percent, order, hot), ddl).select("node", F.explode("prefix").alias("token")).distinct()
-            postings.append(shared_tokens(pairs, f"postings-{order}"))
-        over = Window.partitionBy("token")
-        marked = postings[order] if labels is None else postings[order].join(labels, "node", "left")
+    for turn in range(rounds):
+        marked = postings if labels is None else postings.join(labels, "node", "left")
         marked = marked.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
-        centre = F.min(F.struct(F.xxhash64(F.lit(order), "node").alias("draw"), "node", "label")).over(over)
-        stars = marked.withColumn("centre", centre).where("centre.label <> label").groupBy(F.col("node").alias("b"), F.col("centre.node").alias("a")).agg(F.count("*").alias("n"))
-        stars = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-        links = scratch.save(verify(stars), f"links-{order}")
-        labels = _merge(scratch, labels, links, f"labels-{order}")
+        centre = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("draw"), "node", "label", "n")).over(over)
+        stars = marked.withColumn("centre", centre).where("centre.label <> label").groupBy(F.col("node").alias("b"), F.col("centre.node").alias("a"), F.col("n").alias("n_b"), F.col("centre.n").alias("n_a")).agg(F.count("*").alias("shared"))
+        # a centre that shares little is left to the last step
+        stars = stars.where(sizes_fit & (F.col("shared") >= F.greatest(least_shared / 2, F.lit(0.02) * F.col("n_b"))))
+        stars = scratch.save(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")), f"stars-{turn}")
+        texts = texts_of(stars.select(F.explode(F.array("a", "b")).alias("node")), f"texts-{turn}")
+        links = scratch.save(verify(stars, texts), f"links-{turn}")
+        labels = _merge(scratch, labels, links, f"labels-{turn}")
+        scratch.drop(f"texts-{turn}", f"stars-{turn}")
         release_shuffles(spark)
 
-    pairs = None
-    for order in range(orders):
-        over = Window.partitionBy("token")
-        own = postings[order].join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = own.withColumns({"low": F.min("label").over(over), "high": F.max("label").over(over)}).where("low < high").join(texts.select("node", "n").distinct(), "node").select("token", "node", "label", "n")
-        a, b = (mixed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n")]) for s in "ab")
-        fits = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        got = a.join(b, "token").where(fits).groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("shared"))
-        rest = F.greatest(*[F.ceil(F.lit(percent) * F.col(c) / 100) - 1 for c in ("n_a", "n_b")])
-        need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-        got = got.where(F.col("shared") >= F.greatest(F.lit(1), need - rest)).select("a", "b")
-        pairs = got if pairs is None else pairs.join(got, ["a", "b"])
-    links = scratch.save(verify(scratch.save(pairs, "pairs")), "links-last")
+    own = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = own.withColumns({"low": F.min("label").over(over), "high": F.max("label").over(over)}).where("low < high").drop("low", "high")
+    a, b = (mixed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n")]) for s in "ab")
+    fits = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & sizes_fit
+    pairs = a.join(b, "token").where(fits).groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("shared"))
+    pairs = scratch.save(pairs.where(F.col("shared") >= least_shared).select("a", "b", "n_a", "n_b"), "pairs-0")
+    release_shuffles(spark)
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), "texts-last")
+    for order in range(1, orders):
+        prefixes = texts.select(F.lit(0).cast("long").alias("id"), "text").mapInArrow(_prefix_arrays(k, percent, order, hot), ddl).groupBy("node").agg(F.first("prefix").alias("prefix"))
+        prefixes = scratch.save(prefixes, f"prefixes-{order}")
+        both = pairs.join(prefixes.select(F.col("node").alias("a"), F.col("prefix").alias("pa")), "a").join(prefixes.select(F.col("node").alias("b"), F.col("prefix").alias("pb")), "b")
+        pairs = scratch.save(both.where(F.size(F.array_intersect("pa", "pb")) >= least_shared).select("a", "b", "n_a", "n_b"), f"pairs-{order}")
+    links = scratch.save(verify(pairs.select("a", "b"), texts), "links-last")
     labels = _merge(scratch, labels, links, "labels-last")
+    scratch.drop("texts-last", "postings")
+    release_shuffles(spark)
 
     # from sets back to documents
     told = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -249,7 +247,7 @@ def _own_text(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = pa.array([set_key(shingles(t.as_py(), k)) == node for node, t in zip(batch.column(0).to_pylist(), batch.column(2))], pa.bool_())
+            mask = pa.array([set_key(shingles(t.as_py(), k)) == node for node, t in zip(batch.column(0).to_pylist(), batch.column(1))], pa.bool_())
             yield batch.filter(mask)
 
     return run

@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.0, max_
     return out.withColumn("budget", F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * max_epochs).cast("long")).select("source", "source_size", "n_docs", "target", "budget")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.0, max_epochs: int = 3, seed: int = 0, rows_per_range: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.0, max_epochs: int = 3, seed: int = 0, rows_per_range: int = 2_000) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: the words that the mix takes from each document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")

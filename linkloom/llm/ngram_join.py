@@ -7,8 +7,8 @@ pass under all of them before they are verified on the whole sets.
 
 Groups of near copies never become all pairs: equal sets are one node; then, in a few rounds, every node is verified
 against the centre of its token groups with which it shares most, and connected nodes take one label. Only pairs across
-labels are then enumerated from the first order's prefixes; the other orders' prefixes of the nodes that are left are
-intersected pair by pair, and what passes all orders is verified, so no link between components is lost.
+labels are then enumerated from the first order's prefixes, shortened by the places where a first shared token can stand;
+the orders' whole prefixes are intersected pair by pair, and what passes all is verified, so no link is lost.
 
 Which tokens are frequent is counted over all documents; the list that is broadcast holds the ``hot_bound`` most frequent
 at most, and any list is right, as it only moves tokens in the order.
@@ -48,14 +48,14 @@ def set_key(tokens: np.ndarray) -> int | None:
 
 
 def prefix_of(tokens: np.ndarray, order: int, hot: np.ndarray, percent: int) -> np.ndarray:
-    """The tokens before the prefix's end in order number ``order``: frequent tokens last, else by a hash."""
+    """The tokens before the prefix's end, in order number ``order``: frequent tokens last, else by a hash."""
     n = len(tokens)
     size = n - -(-percent * n // 100) + 1
     rank = mix64(tokens ^ np.uint64(0xA0761D6478BD642F * (order + 1) % (1 << 64))) >> np.uint64(1)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
         rank |= (hot[at] == tokens).astype(np.uint64) << np.uint64(63)
-    return tokens[np.argpartition(rank, size - 1)[:size]] if size < n else tokens
+    return tokens[np.argsort(rank, kind="stable")[:size]]
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -167,8 +167,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     release_shuffles(spark)
 
     over = Window.partitionBy("token")
-    seen = nodes.select("node", "n", F.explode("prefix").alias("token")).withColumns({"low": F.min("node").over(over), "high": F.max("node").over(over)})
-    postings = scratch.save(seen.where("low < high").select("token", "node", "n"), "postings")
+    seen = nodes.select("node", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("at", "token")).withColumns({"low": F.min("node").over(over), "high": F.max("node").over(over), "df": F.count("*").over(over)})
+    postings = scratch.save(seen.where("low < high").drop("low", "high"), "shared")
+    # nodes whose tokens are most shared lie in the middle of their group
+    central = postings.groupBy("node").agg((F.sum("df") / F.first("p")).alias("central"))
+    postings = scratch.save(postings.join(central, "node").select("token", "node", "n", "p", "at", "central"), "postings")
+    scratch.drop("shared")
     release_shuffles(spark)
 
     need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
@@ -194,7 +198,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for turn in range(rounds):
         marked = postings if labels is None else postings.join(labels, "node", "left")
         marked = marked.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
-        centre = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("draw"), "node", "label", "n")).over(over)
+        draw = F.xxhash64(F.lit(turn), "node").cast("double") if turn else -F.col("central")
+        centre = F.min(F.struct(draw.alias("draw"), "node", "label", "n")).over(over)
         stars = marked.withColumn("centre", centre).where("centre.label <> label").groupBy(F.col("node").alias("b"), F.col("centre.node").alias("a"), F.col("n").alias("n_b"), F.col("centre.n").alias("n_a")).agg(F.count("*").alias("shared"))
         # a centre that shares little is left to the last step
         stars = stars.where(sizes_fit & (F.col("shared") >= F.greatest(least_shared / 2, F.lit(0.02) * F.col("n_b"))))
@@ -205,12 +210,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         scratch.drop(f"texts-{turn}", f"stars-{turn}")
         release_shuffles(spark)
 
-    own = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = own.withColumns({"low": F.min("label").over(over), "high": F.max("label").over(over)}).where("low < high").drop("low", "high")
-    a, b = (mixed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n")]) for s in "ab")
-    fits = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & sizes_fit
-    pairs = a.join(b, "token").where(fits).groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("shared"))
-    pairs = scratch.save(pairs.where(F.col("shared") >= least_shared).select("a", "b", "n_a", "n_b"), "pairs-0")
+    pairs = scratch.save(_cross_pairs(postings, labels, percent), "cross")
+    release_shuffles(spark)
+    first = nodes.select("node", "n", "prefix")
+    both = pairs.join(first.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("pa")), "a").join(first.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("pb")), "b")
+    pairs = scratch.save(both.where(F.size(F.array_intersect("pa", "pb")) >= least_shared).select("a", "b", "n_a", "n_b"), "pairs-0")
     release_shuffles(spark)
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), "texts-last")
     for order in range(1, orders):
@@ -233,6 +237,43 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"), "node")
 
 
+BUCKET = 1 / 0.95
+
+
+def _cross_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes of different labels that can have their first shared token in both prefixes.
+
+    A pair of sizes n >= m shares c = need - rest tokens of its prefixes at least, so the first of them stands c - 1 places
+    before either prefix's end. Sizes fall into buckets of ratio 0.95; c is taken at the bucket's edge, which only lowers
+    it. Near copies of one size meet on their rarest tokens alone, so those that differ in rare tokens never meet.
+    """
+    over = Window.partitionBy("token")
+    own = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = own.withColumns({"low": F.min("label").over(over), "high": F.max("label").over(over), "least": F.min("n").over(over), "most": F.max("n").over(over)}).where("low < high")
+    bucket = lambda n: F.floor(F.log(n) / float(np.log(BUCKET))).cast("int")
+    edge = lambda b: F.exp(b * float(np.log(BUCKET)))
+
+    def shared(n, m):
+        """Of sizes n >= m."""
+        return F.greatest(F.lit(1), F.ceil(F.lit(percent) * (n + m) / (100 + percent)) - (F.ceil(F.lit(percent) * n / 100) - 1))
+
+    small = lambda b: F.greatest(F.ceil(F.lit(percent) * F.col("n") / 100), F.floor(edge(b)) - 1, F.lit(1))
+    rows = mixed.select("token", "node", "label", "n", "p", "at", bucket(F.col("n")).alias("bucket"), bucket(F.col("least")).alias("lowest"), bucket(F.col("most")).alias("highest"))
+    same = F.least(shared(F.col("n"), small(F.col("bucket"))), shared(F.ceil(edge(F.col("bucket") + 1)) + 1, F.col("n")))
+    near = rows.where(F.col("at") <= F.col("p") - same).select("token", "bucket", "node", "label", "n")
+    reach = int(np.log(100 / percent) / np.log(BUCKET)) + 1
+    larger = rows.where("bucket > lowest").withColumn("to", F.explode(F.sequence(F.greatest(F.col("lowest"), F.col("bucket") - reach), F.col("bucket") - 1)))
+    larger = larger.where(F.col("at") <= F.col("p") - shared(F.col("n"), small(F.col("to")))).select("token", F.col("to").alias("bucket"), "node", "label", "n")
+    smaller = rows.where("bucket < highest").select("token", "bucket", "node", "label", "n")
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        a, b = (df.select("token", "bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n")]) for df, s in ((x, "a"), (y, "b")))
+        fits = (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        return a.join(b, ["token", "bucket"]).where(fits & (F.col("node_a") < F.col("node_b") if x is y else F.lit(True))).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+    return met(near, near).unionByName(met(larger, smaller)).distinct()
+
+
 def _with_node(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

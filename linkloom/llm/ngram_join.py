@@ -2,7 +2,7 @@
 
 A document's set holds its distinct ``k``-word shingles. Two sets of Jaccard similarity t or more share a token within
 their prefixes of n - ceil(t n) + 1 tokens under every order of all tokens, and the prefixes share at least
-ceil(t/(1+t) (n+m)) - max(n - p, m - q) tokens. The orders put frequent tokens last and differ in a hash; candidates must
+ceil(t/(1+t) (n+m)) - max(n - p, m - q) tokens. The orders put frequent tokens last, by classes of frequency, and differ in a hash; candidates must
 pass under all of them before they are verified on the whole sets.
 
 Groups of near copies never become all pairs: equal sets are one node; then, in a few rounds, every node is verified
@@ -47,14 +47,21 @@ def set_key(tokens: np.ndarray) -> int | None:
     return h - (1 << 64) if h >> 63 else h
 
 
-def prefix_of(tokens: np.ndarray, order: int, hot: np.ndarray, percent: int) -> np.ndarray:
-    """The tokens before the prefix's end, in order number ``order``: frequent tokens last, else by a hash."""
+NO_HOT = (np.empty(0, np.uint64), np.empty(0, np.uint64))
+
+
+def prefix_of(tokens: np.ndarray, order: int, hot: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """The tokens before the prefix's end, in order number ``order``: by the class of their frequency, then by a hash.
+
+    ``hot``: sorted frequent tokens and their classes, 1 to 63; other tokens are class 0.
+    """
     n = len(tokens)
     size = n - -(-percent * n // 100) + 1
-    rank = mix64(tokens ^ np.uint64(0xA0761D6478BD642F * (order + 1) % (1 << 64))) >> np.uint64(1)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-        rank |= (hot[at] == tokens).astype(np.uint64) << np.uint64(63)
+    rank = mix64(tokens ^ np.uint64(0xA0761D6478BD642F * (order + 1) % (1 << 64))) >> np.uint64(6)
+    known, classes = hot
+    if len(known):
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        rank |= np.where(known[at] == tokens, classes[at], np.uint64(0)) << np.uint64(58)
     return tokens[np.argsort(rank, kind="stable")[:size]]
 
 
@@ -69,10 +76,9 @@ def _describe(k: int, percent: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.empty(0, np.uint64)
         for batch in batches:
             sets = [shingles(t.as_py(), k) for t in batch.column(1)]
-            prefixes = [to_signed(prefix_of(s, 0, none, percent)) if len(s) else [] for s in sets]
+            prefixes = [to_signed(prefix_of(s, 0, NO_HOT, percent)) if len(s) else [] for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], schema=schema)
 
     return run
@@ -154,8 +160,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = scratch.save(described.select("doc_id", "n", "node"), "base")
 
     counts = described.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    top = counts.where(F.col("n") > frequent).orderBy(F.desc("n"), "token").limit(hot_bound).select("token")
-    hot = spark.sparkContext.broadcast(np.sort(np.array(top.toArrow().column(0).to_numpy(), np.int64).view(np.uint64)))
+    top = counts.where(F.col("n") > frequent).orderBy(F.desc("n"), "token").limit(hot_bound).toArrow()
+    known = np.array(top.column(0).to_numpy(), np.int64).view(np.uint64)
+    classes = np.clip(np.log2(np.maximum(top.column(1).to_numpy(), 1)), 1, 63).astype(np.uint64)
+    hot = spark.sparkContext.broadcast((known[np.argsort(known)], classes[np.argsort(known)]))
     scratch.drop("described")
     release_shuffles(spark)
 

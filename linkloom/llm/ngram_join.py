@@ -10,8 +10,10 @@ against the centre of its token groups with which it shares most, and connected
 labels are then enumerated from the first order's prefixes, shortened by the places where a first shared token can stand;
 the orders' whole prefixes are intersected pair by pair, and what passes all is verified, so no link is lost.
 
-Which tokens are frequent is counted over all documents; the list that is broadcast holds the ``hot_bound`` most frequent
-at most, and any list is right, as it only moves tokens in the order.
+Which tokens are frequent is counted in two steps: in the hash-ordered prefixes of all documents, then in the whole sets
+whose prefixes are frequent tokens to the share ``crowded`` or more, since only those have frequent tokens left in front
+once the known ones are last. Each step lists the ``hot_bound`` most frequent at most, which bounds the broadcast, and any
+list is right, as it only moves tokens in the order.
 
 Edge cases: null, empty or blank text has an empty set and is linked with nothing; fewer than k words are one shingle; a
 null id takes part by its text, and a component's id is its smallest non-null id; rows sharing an id are judged by their
@@ -100,6 +102,33 @@ def _prefix_arrays(k: int, percent: int, order: int, hot):
     return run
 
 
+def _crowded(known: np.ndarray, share: float):
+    """(doc_id, node) of the sets whose prefix is frequent tokens to ``share`` or more; ``known``: sorted, broadcast."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            tokens, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+            sizes = np.diff(ends, prepend=0)
+            at = np.minimum(np.searchsorted(known.value, tokens), len(known.value) - 1)
+            hits = np.concatenate([[0], np.cumsum(known.value[at] == tokens)])
+            frequent = hits[ends] - hits[ends - sizes]
+            mask = pa.array((sizes > 0) & (frequent >= share * sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=schema)
+
+    return run
+
+
+def _tokens(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(to_signed(shingles(text.as_py(), k)))], ["token"])
+
+    return run
+
+
 def _verify(k: int, percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -151,7 +180,7 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     return labels if labels is not None else spark.createDataFrame([], "node long, label long")
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, orders: int = 3, rounds: int = 3, frequent: int = 24, hot_bound: int = 1_000_000, broadcast_bound: int = 1_000_000) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, orders: int = 3, rounds: int = 3, frequent: int = 24, crowded: float = 0.25, hot_bound: int = 1_000_000, broadcast_bound: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), n_class (documents with the same set), node."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
@@ -159,11 +188,24 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     described = scratch.save(source.mapInArrow(_describe(k, percent), "doc_id long, n long, node long, prefix array<long>"), "described")
     base = scratch.save(described.select("doc_id", "n", "node"), "base")
 
-    counts = described.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    top = counts.where(F.col("n") > frequent).orderBy(F.desc("n"), "token").limit(hot_bound).toArrow()
-    known = np.array(top.column(0).to_numpy(), np.int64).view(np.uint64)
-    classes = np.clip(np.log2(np.maximum(top.column(1).to_numpy(), 1)), 1, 63).astype(np.uint64)
-    hot = spark.sparkContext.broadcast((known[np.argsort(known)], classes[np.argsort(known)]))
+    def most_frequent(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+        top = counts.where(F.col("n") > frequent).orderBy(F.desc("n"), "token").limit(hot_bound).toArrow()
+        return np.array(top.column(0).to_numpy(), np.int64).view(np.uint64), np.array(top.column(1).to_numpy(), np.int64)
+
+    known, times = most_frequent(described.select(F.explode("prefix").alias("token")))
+    if len(known):
+        listed = spark.sparkContext.broadcast(np.sort(known))
+        chosen = described.where("doc_id IS NOT NULL").select("doc_id", "node", "prefix").mapInArrow(_crowded(listed, crowded), "doc_id long, node long")
+        chosen = scratch.save(chosen.groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "crowded")
+        send = F.broadcast if chosen.count() <= broadcast_bound else (lambda df: df)
+        whole = source.join(send(chosen), "doc_id", "left_semi").select("text").mapInArrow(_tokens(k), "token long")
+        more, often = most_frequent(whole)
+        both = np.concatenate([known, more])
+        known, where = np.unique(both, return_inverse=True)
+        counted, times = np.concatenate([times, often]), np.zeros(len(known), np.int64)
+        np.maximum.at(times, where, counted)
+    hot = spark.sparkContext.broadcast((known, np.clip(np.log2(np.maximum(times, 1)), 1, 63).astype(np.uint64)))
     scratch.drop("described")
     release_shuffles(spark)
 

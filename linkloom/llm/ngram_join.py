@@ -295,7 +295,7 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFr
 
     A pair of sizes n >= m shares c = need - rest tokens of its prefixes at least, so the first of them stands c - 1 places
     before either prefix's end. Sizes fall into buckets of ratio 0.95; c is taken at the bucket's edge, which only lowers
-    it. Near copies of one size meet on their rarest tokens alone, so those that differ in rare tokens never meet.
+    it; pairs that meet are held to their own sizes. Near copies of one size meet on their rarest tokens alone, so those that differ in rare tokens never meet.
     """
     over = Window.partitionBy("token")
     own = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -310,15 +310,17 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFr
     small = lambda b: F.greatest(F.ceil(F.lit(percent) * F.col("n") / 100), F.floor(edge(b)) - 1, F.lit(1))
     rows = mixed.select("token", "node", "label", "n", "p", "at", bucket(F.col("n")).alias("bucket"), bucket(F.col("least")).alias("lowest"), bucket(F.col("most")).alias("highest"))
     same = F.least(shared(F.col("n"), small(F.col("bucket"))), shared(F.ceil(edge(F.col("bucket") + 1)) + 1, F.col("n")))
-    near = rows.where(F.col("at") <= F.col("p") - same).select("token", "bucket", "node", "label", "n")
+    near = rows.where(F.col("at") <= F.col("p") - same).select("token", "bucket", "node", "label", "n", "p", "at")
     reach = int(np.log(100 / percent) / np.log(BUCKET)) + 1
     larger = rows.where("bucket > lowest").withColumn("to", F.explode(F.sequence(F.greatest(F.col("lowest"), F.col("bucket") - reach), F.col("bucket") - 1)))
-    larger = larger.where(F.col("at") <= F.col("p") - shared(F.col("n"), small(F.col("to")))).select("token", F.col("to").alias("bucket"), "node", "label", "n")
-    smaller = rows.where("bucket < highest").select("token", "bucket", "node", "label", "n")
+    larger = larger.where(F.col("at") <= F.col("p") - shared(F.col("n"), small(F.col("to")))).select("token", F.col("to").alias("bucket"), "node", "label", "n", "p", "at")
+    smaller = rows.where("bucket < highest").select("token", "bucket", "node", "label", "n", "p", "at")
 
     def met(x: DataFrame, y: DataFrame) -> DataFrame:
-        a, b = (df.select("token", "bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n")]) for df, s in ((x, "a"), (y, "b")))
+        a, b = (df.select("token", "bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n", "p", "at")]) for df, s in ((x, "a"), (y, "b")))
         fits = (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        c = shared(F.greatest("n_a", "n_b"), F.least("n_a", "n_b"))
+        fits &= (F.col("at_a") <= F.col("p_a") - c) & (F.col("at_b") <= F.col("p_b") - c)
         return a.join(b, ["token", "bucket"]).where(fits & (F.col("node_a") < F.col("node_b") if x is y else F.lit(True))).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
     return met(near, near).unionByName(met(larger, smaller)).distinct()

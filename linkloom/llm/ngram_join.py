@@ -30,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import Prefix, Scratch, hash_words, mix64, release_shuffles, to_signed, words_of
+from linkloom.llm.common import Prefix, Scratch, hash_words, mix64, release_shuffles, to_signed
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; A-Z count as a-z."""
-    words = [w.lower() for w in words_of(text)]
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
     return np.unique(Prefix(hash_words(words)).grams(min(k, len(words))))

@@ -96,6 +96,24 @@ def test_ngram_components_by_brute_force(spark):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == components_by_brute_force(rows)
 
 
+@pytest.mark.parametrize("crowded", [0.25, 2.0])
+def test_ngram_components_in_a_crowd(spark, crowded):
+    """Many copies of one text on both sides of the threshold, with and without the second count of frequent tokens."""
+    r = random.Random(8)
+    base, rows = prose(r, 110).split(), []
+    for i in range(60):
+        words = list(base)
+        for _ in range(r.randrange(10)):
+            at = r.randrange(len(words))
+            words[at : at + r.randrange(3)] = [r.choice([f"n{r.randrange(10**6)}", r.choice(base)])]
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, prose(r, 60) + " " + " ".join(base[:40])) for i in range(20)]
+    want = components_by_brute_force(rows)
+    assert len({c for _, c in want.values()}) > 25
+    got = ngram_join.ngram_components(frame(spark, rows), frequent=4, crowded=crowded)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == want
+
+
 def test_ngram_components_edges(spark):
     got = ngram_join.ngram_components(frame(spark, [(None, "a b c d e f"), (3, "a b c d e f"), (3, "q r s t u v"), (4, "q r s t u v")])).collect()
     assert {(x["doc_id"], x["component_id"]) for x in got} == {(None, 3), (3, 3), (4, 3)}

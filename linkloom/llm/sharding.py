@@ -145,13 +145,14 @@ class ShardStore:
         from pyspark.sql.types import StructType
 
         m = self.manifest(version)
-        names = [(p.rpartition("/")[2], f"r{r['run']:04d}-{i:05d}", r["tier"]) for r in m["runs"] for i, (p, _) in enumerate(r["files"])]
+        names = [(p.removeprefix("data/"), f"r{r['run']:04d}-{i:05d}", r["tier"]) for r in m["runs"] for i, (p, _) in enumerate(r["files"])]
         if not names:
             empty = StructType.fromJson(json.loads(m["schema"])) if m["schema"] else StructType()
             return self.spark.createDataFrame([], empty).withColumns({"shard": F.lit(""), "tier": F.lit(0), "version": F.lit(m["version"])})
         table = self.spark.createDataFrame(names, "__file string, shard string, tier int")  # a row a file
         rows = self._rows([f for r in m["runs"] for f in r["files"]])
-        out = rows.select("*", F.col("_metadata.file_name").alias("__file")).join(F.broadcast(table) if len(names) <= 100_000 else table, "__file")
+        # by path under data/: the runs of one append share the base names of their files
+        out = rows.select("*", F.substring_index("_metadata.file_path", "/data/", -1).alias("__file")).join(F.broadcast(table) if len(names) <= 100_000 else table, "__file")
         return out.drop("__file").withColumn("version", F.lit(m["version"]))
 
 

@@ -121,6 +121,21 @@ def test_shard_documents(spark, tmp_path):
     assert sorted(str(x["doc_id"]) for x in store.read().collect()) == sorted(str(x["doc_id"]) for x in docs.collect())
 
 
+def test_shard_documents_with_unmerged_arrivals(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(i, "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20_000 if i == 7 else 10))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)  # one task: the same base name in each arrival
+    store = sharding.shard_documents(docs, f"file://{tmp_path}/data/s", small_bytes=2000)
+    runs = store.manifest()["runs"]
+    files = {f"r{x['run']:04d}-{i:05d}": (x["tier"], p) for x in runs for i, (p, _) in enumerate(x["files"])}
+    assert len({p.rpartition("/")[2] for _, p in files.values()}) < len(files)
+    got = store.read().collect()
+    assert sorted((x["doc_id"], x["text"]) for x in got) == rows
+    for shard, (tier, p) in files.items():
+        held = {x["doc_id"] for x in spark.read.parquet(f"{store.root}/{p}").select("doc_id").collect()}
+        assert {x["doc_id"] for x in got if x["shard"] == shard} == held and {x["tier"] for x in got if x["shard"] == shard} == {tier}
+
+
 # ---------------------------------------------------------------- queries against SQL
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):

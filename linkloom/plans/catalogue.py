@@ -2,7 +2,8 @@
 
 The tables hold no business lists, so records are stand-ins: documents are records, their language is the block, ids
 divisible by four play S1 and all others the noisy lists, and equal normalised texts are the truth. All rows and whole
-texts take part.
+texts take part. Tokens have Linkage's document-frequency window where a query has no SQL (``whole``); where it has,
+they have the SQL's window of 2 to ``CAP``, which leaves out every token of more than ``CAP`` records of a block.
 """
 
 from __future__ import annotations
@@ -91,13 +92,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.withColumns({"toks": F.array_distinct(N.tokens(F.col("name"))), "is_s1": F.col("id") % 4 == 0})
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     rec = records(spark, sf_dir).select("id", "ckey", "toks", "is_s1")
-    return B.cosine_pairs(rec.where("is_s1"), rec.where("NOT is_s1"), digits=6, cap=CAP, absolute=True)
+    window = {} if whole else {"cap": CAP, "absolute": True}
+    return B.cosine_pairs(rec.where("is_s1"), rec.where("NOT is_s1"), digits=6, **window)
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.top_both_ways(pairs(spark, sf_dir))
+def candidates(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return B.top_both_ways(pairs(spark, sf_dir, whole))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,17 +112,17 @@ def own(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(F.col("doc_id") % 4 == 0).select(F.col("doc_id").alias("s1_id"), F.col("lang").alias("ckey"))
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).withColumnRenamed("score", "p")
+def scored_pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return candidates(spark, sf_dir, whole).withColumnRenamed("score", "p")
 
 
-def decided(spark: SparkSession, sf_dir: str, t: float = 0.5) -> DataFrame:
-    return R.decide_threshold(R.ranked_best(scored_pairs(spark, sf_dir)), t)
+def decided(spark: SparkSession, sf_dir: str, t: float = 0.5, whole: bool = False) -> DataFrame:
+    return R.decide_threshold(R.ranked_best(scored_pairs(spark, sf_dir, whole)), t)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan, tokens, inverted-index join, top-k both ways, one-to-one, threshold."""
-    return decided(spark, sf_dir, 0.3).select("s1_id", "o_id", "p")
+    return decided(spark, sf_dir, 0.3, whole=True).select("s1_id", "o_id", "p")
 
 
 @query(f"WITH {REC} SELECT ckey, tok, df FROM freq")
@@ -244,7 +246,7 @@ def embed_encode(spark, sf):
 @query()
 def scorer_pairs(spark, sf):
     rec = records(spark, sf).select("id", "text")
-    chosen = V.select_for_scorer(candidates(spark, sf).withColumnRenamed("score", "p1"), 1, 0.5)
+    chosen = V.select_for_scorer(candidates(spark, sf, whole=True).withColumnRenamed("score", "p1"), 1, 0.5)
     texts = chosen.join(rec.select(F.col("id").alias("s1_id"), F.col("text").alias("text_a")), "s1_id").join(rec.select(F.col("id").alias("o_id"), F.col("text").alias("text_b")), "o_id").select("s1_id", "o_id", "text_a", "text_b")
     return V.score_text_pairs(texts, V.overlap_scorer).select("s1_id", "o_id", F.round("ce_p", 6).alias("ce_p"))
 
@@ -761,7 +763,7 @@ def synonym_changes(spark, sf):
 @query()
 def synonym_mine(spark, sf):
     rec = records(spark, sf).select("id", "toks", "text")
-    m = decided(spark, sf).join(rec.select(F.col("id").alias("s1_id"), F.col("toks").alias("ta")), "s1_id").join(rec.select(F.col("id").alias("o_id"), F.col("toks").alias("tb"), F.col("text").alias("raw_b")), "o_id")
+    m = decided(spark, sf, whole=True).join(rec.select(F.col("id").alias("s1_id"), F.col("toks").alias("ta")), "s1_id").join(rec.select(F.col("id").alias("o_id"), F.col("toks").alias("tb"), F.col("text").alias("raw_b")), "o_id")
     return Y.mine(m, min_count=1, min_ratio=0.3)
 
 
@@ -808,7 +810,7 @@ def stack_oof(spark, sf):
 
 
 def _labelled(spark, sf):
-    cand = W.context_columns(candidates(spark, sf).na.fill(255, ["r_rev", "r_fwd"]), ["score"])
+    cand = W.context_columns(candidates(spark, sf, whole=True).na.fill(255, ["r_rev", "r_fwd"]), ["score"])
     names = [c for c in cand.columns if c not in ("s1_id", "o_id")]
     return cand.join(truth(spark, sf).withColumn("label", F.lit(1)), ["s1_id", "o_id"], "left").na.fill(0, ["label"]), names
 

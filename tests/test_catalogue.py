@@ -1,4 +1,8 @@
+import math
 import os
+import random
+import re
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -34,3 +38,47 @@ def test_entry_has_rows(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def candidates_by_steps(rows, k_rev=10, k_fwd=20, cap=3000, share=0.004):
+    """(s1_id, o_id) -> score: all pairs of a block that share a token of the production window, then the best both ways."""
+    toks = {i: set(re.sub("[^a-z0-9]+", " ", text.lower()).split()) for i, text, _ in rows}
+    sizes, df = Counter(lang for _, _, lang in rows), Counter((lang, t) for i, _, lang in rows for t in toks[i])
+    weights = {}
+    for i, _, lang in rows:
+        w = {t: math.log(sizes[lang] / df[lang, t]) for t in toks[i] if 2 <= df[lang, t] <= max(cap, share * sizes[lang])}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        weights[i] = {t: x / norm for t, x in w.items()} if norm else {}
+    scores = {(a, b): round(sum(w * weights[b][t] for t, w in weights[a].items() if t in weights[b]), 6) for a, _, la in rows for b, _, lb in rows if a % 4 == 0 and b % 4 and la == lb and weights[a].keys() & weights[b].keys()}
+    by_o, by_s1 = defaultdict(list), defaultdict(list)
+    for (a, b), score in scores.items():
+        by_o[b].append((-score, a, b))
+        by_s1[a].append((-score, b, a))
+    kept = {(a, b) for x in by_o.values() for _, a, b in sorted(x)[:k_rev]} | {(a, b) for x in by_s1.values() for _, b, a in sorted(x)[:k_fwd]}
+    return {pair: scores[pair] for pair in kept}
+
+
+@pytest.fixture(scope="module")
+def copies(spark, tmp_path_factory):
+    """Sixty copies of one text (over CAP), each with a word of its own or none, among other texts."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, "Alpha beta, gamma!" + (f" own{i // 5}" if i % 3 else ""), "en") for i in range(60)]
+    rows += [(i, " ".join(r.choices(words, k=r.randrange(1, 9))), r.choice(["en", "en", "de"])) for i in range(60, 240)]
+    path = str(tmp_path_factory.mktemp("copies"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{path}/documents.parquet")
+    return path, rows
+
+
+def test_flagship_has_the_production_window(spark, copies):
+    from linkloom.plans import catalogue
+
+    path, rows = copies
+    want = candidates_by_steps(rows)
+    got = {(x["s1_id"], x["o_id"]): x["score"] for x in catalogue.candidates(spark, path, whole=True).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in got)
+    best = {}
+    for (a, b), p in sorted(want.items()):
+        best[b] = max(best.get(b, (-1, 0)), (p, -a))
+    assert {(x["s1_id"], x["o_id"]) for x in catalogue.flagship(spark, path).collect()} == {(-a, b) for b, (p, a) in best.items() if p >= 0.3}
+    assert {x["o_id"] for x in catalogue.flagship(spark, path).collect()} >= {i for i in range(60) if i % 4}

@@ -83,11 +83,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: repeated once an epoch, the document at the cut with its first words only.
 
-    Documents the mix leaves out are dropped. Rows that share an id and a size share their part as well.
+    Documents the mix leaves out are dropped. Rows that share an id and a size share their part as well; rows without an id
+    are told apart by their place among those of a source and size.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    taken = mix_sources(docs, **options).groupBy("doc_id", "size").agg(F.max("taken").alias("__taken")).where("__taken > 0").withColumnsRenamed({"doc_id": "__id", "size": "__size"})
-    joined = docs.join(taken, (F.col(id_col) == F.col("__id")) & (word_count(F.col(text_col)) == F.col("__size")))
+    source_col = options.get("source_col", "source")
+    parts = Scratch(docs.sparkSession, "mixed").save(mix_sources(docs, **options).select("doc_id", "source", "size", "taken"), "parts")
+    taken = parts.groupBy("doc_id", "size").agg(F.max("taken").alias("__taken")).where("__taken > 0").withColumnsRenamed({"doc_id": "__id", "size": "__size"})
+    joined = docs.join(taken, (F.col(id_col) == F.col("__id")) & (word_count(F.col(text_col)) == F.col("__size"))).drop("__id")
+    place = lambda *order: F.row_number().over(Window.partitionBy("__source", "__size").orderBy(*order))
+    unnamed = parts.where("doc_id IS NULL").select(F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).withColumn("__place", place(F.desc("__taken"))).where("__taken > 0")
+    unnamed = unnamed.withColumnRenamed("__source", "__from").withColumnRenamed("__size", "__words")
+    nameless = docs.where(F.col(id_col).isNull()).withColumns({"__source": F.col(source_col), "__size": word_count(F.col(text_col))}).withColumn("__place", place(F.xxhash64(text_col), text_col))
+    nameless = nameless.join(unnamed, F.col("__source").eqNullSafe(F.col("__from")) & (F.col("__size") == F.col("__words")) & (nameless["__place"] == unnamed["__place"]))
+    joined = joined.unionByName(nameless.select(*docs.columns, "__size", "__taken"))
     copies = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
     out = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
     part = F.least(F.col("__size"), F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")).cast("int")

@@ -52,6 +52,21 @@ def test_mix_targets_and_budgets(spark, ranges):
     assert mixing.mix_sources(docs.where("false")).count() == 0
 
 
+def test_mixed_documents_without_ids(spark):
+    r = random.Random(5)
+    rows = [(i if i % 3 else None, " ".join(f"t{i}" for _ in range(r.choice([0, 1, 4, 4, 9]))), r.choice(["a", "a", "a", "b", None])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = defaultdict(int)
+    for x in mixing.mix_sources(docs).collect():
+        want[x["source"], x["doc_id"]] += x["taken"]
+    got = defaultdict(int)
+    for x in mixing.mixed_documents(docs).collect():
+        got[x["source"], x["doc_id"]] += len(x["text"].split())
+        assert any(i == x["doc_id"] and s == x["source"] and t.startswith(x["text"]) for i, t, s in rows)
+    assert any(n for (_, i), n in want.items() if i is None)
+    assert got == {key: n for key, n in want.items() if n}
+
+
 # ---------------------------------------------------------------- URL filters
 def test_url_filters_by_brute_force(spark):
     r = random.Random(2)

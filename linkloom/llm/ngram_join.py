@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -181,7 +182,8 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, orders: int = 3, rounds: int = 3, frequent: int = 24, crowded: float = 0.25, hot_bound: int = 1_000_000, broadcast_bound: int = 1_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links), n_class (documents with the same set), node."""
+    """doc_id, n_shingles, component_id (smallest id reachable by links), n_class (documents with the same set), node, label
+    (names the component, also where it has no id; null for the empty set)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -280,11 +282,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # from sets back to documents
     told = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = told.groupBy("label").agg(F.min("rep").alias("component_id"))
-    told = told.join(smallest, "label").select("node", "component_id")
+    told = told.join(smallest, "label").select("node", "label", "component_id")
     sizes = base.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("n_class"))
     told = told.join(sizes, "node")
     out = base.join(told, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"), "node")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"), "node", "label")
 
 
 BUCKET = 1 / 0.95
@@ -360,7 +362,29 @@ def _merge(scratch: Scratch, labels: DataFrame | None, links: DataFrame, name: s
     return scratch.save(out, f"{name}-all")
 
 
+def _keys(k: int):
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_key(shingles(t, k)) for t in texts], dtype="Int64")
+
+    return run
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest; rows with an empty set or a null id stay."""
-    found = ngram_components(docs, id_col, text_col, **options).where("component_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    """One row of ``docs`` for each component, of its smallest id; rows with an empty set stay.
+
+    A row whose id is its own is judged by the id. Rows with a repeated or null id are judged by their own sets, and of
+    those that have a component's smallest id (or of all, if it has none) the one with the smallest text stays.
+    """
+    scratch = Scratch(docs.sparkSession, "keep")
+    found = scratch.save(ngram_components(docs, id_col, text_col, **options).select("doc_id", "node", "label", "component_id"), "found")
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__id"))
+    gone = found.where("component_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    own = F.col(id_col).cast("long")
+    single = docs.where(own.isNotNull()).join(gone.unionByName(repeated).distinct(), own == F.col("__id"), "left_anti")
+    odd = docs.where(own.isNull()).unionByName(docs.join(repeated, own == F.col("__id"), "left_semi"))
+    odd = odd.withColumn("__node", _keys(options.get("k", 5))(F.col(text_col)))
+    told = found.where("node IS NOT NULL").groupBy(F.col("node").alias("__node")).agg(F.first("label").alias("__label"), F.first("component_id").alias("__component"))
+    first = odd.where("__node IS NOT NULL").join(told, "__node").where(own.eqNullSafe(F.col("__component")))
+    first = first.groupBy("__label").agg(F.min_by(F.struct(*docs.columns), text_col).alias("__row")).select("__row.*")
+    return single.unionByName(odd.where("__node IS NULL").select(*docs.columns)).unionByName(first)

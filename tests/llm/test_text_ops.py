@@ -122,6 +122,14 @@ def test_ngram_components_edges(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == [1, 3, 4]
 
 
+def test_keep_one_with_repeated_and_null_ids(spark):
+    a, b, c, d = "a b c d e f", "q r s t u v", "k l m n o p", "z y x w v u"
+    rows = [(5, a), (5, a), (6, a), (None, a), (7, b), (6, c), (None, d), (None, d), (8, None), (8, ""), (None, None), (9, b), (9, "one of its own here"), (5, None)]
+    got = ngram_join.keep_one_of_each(frame(spark, rows)).collect()
+    want = [(5, a), (7, b), (6, c), (None, d), (8, None), (8, ""), (None, None), (9, "one of its own here"), (5, None)]
+    assert sorted(str((x["doc_id"], x["text"])) for x in got) == sorted(map(str, want))
+
+
 # ---------------------------------------------------------------- decontamination
 def edit_distance_in(pattern, text):
     row = [0] * (len(text) + 1)

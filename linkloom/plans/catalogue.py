@@ -484,7 +484,7 @@ def _prepared(spark, sf):
 def _features(spark, sf):
     a, b = _prepared(spark, sf)
     side = lambda d: d.select(F.col("entity_id").alias("id"), "ckey", F.col("btok").alias("toks"))
-    cand = B.top_both_ways(B.cosine_pairs(side(a), side(b)), 2, 3)
+    cand = B.top_both_ways(B.cosine_pairs(side(a), side(b)))
     full = cand.select("s1_id", "o_id", "score", F.coalesce("r_rev", F.lit(255)).alias("r_rev"), F.coalesce("r_fwd", F.lit(255)).alias("r_fwd"), F.lit(255).alias("r_emb"), F.lit(-1.0).alias("emb_score"), F.col("score").alias("p1"))
     return P.pair_features(full, a, b)
 
@@ -493,7 +493,7 @@ def _features(spark, sf):
 def prefilter_columns(spark, sf):
     a, b = _prepared(spark, sf)
     side = lambda d: d.select(F.col("entity_id").alias("id"), "ckey", F.col("btok").alias("toks"))
-    cand = B.top_both_ways(B.cosine_pairs(side(a), side(b)), 2, 3)
+    cand = B.top_both_ways(B.cosine_pairs(side(a), side(b)))
     full = cand.select("s1_id", "o_id", "score", F.coalesce("r_rev", F.lit(255)).alias("r_rev"), F.coalesce("r_fwd", F.lit(255)).alias("r_fwd"), F.lit(255).alias("r_emb"), F.lit(-1.0).alias("emb_score"))
     return P.cheap_features(full, a, b)
 

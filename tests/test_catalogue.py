@@ -82,3 +82,13 @@ def test_flagship_has_the_production_window(spark, copies):
         best[b] = max(best.get(b, (-1, 0)), (p, -a))
     assert {(x["s1_id"], x["o_id"]) for x in catalogue.flagship(spark, path).collect()} == {(-a, b) for b, (p, a) in best.items() if p >= 0.3}
     assert {x["o_id"] for x in catalogue.flagship(spark, path).collect()} >= {i for i in range(60) if i % 4}
+
+
+def test_prefilter_columns_over_all_candidates(spark, tmp_path):
+    from linkloom.plans import catalogue
+
+    spark.createDataFrame([(i, f"Bright {'Lamp Door Roof'.split()[i % 3]} Works", 1) for i in range(15)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(i, f"Bright {'Lamp Door Roof Wall'.split()[i % 4]} {'Lamp Door Roof'.split()[i % 3]} Works", 1) for i in range(60)], "c_custkey long, c_name string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalogue.prefilter_columns(spark, str(tmp_path)).select("r_rev", "r_fwd", "s1_n").collect()
+    assert max(x["r_rev"] for x in got if x["r_rev"] < 255) == 10 and max(x["r_fwd"] for x in got if x["r_fwd"] < 255) == 20
+    assert max(x["s1_n"] for x in got) >= 20

@@ -16,13 +16,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="linkloom-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or one set by setCheckpointDir.
+
+    A local session without one gets a temporary folder. On a cluster executors couldn't see it, so there it is an error.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="linkloom-"))
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def free_name(wanted: str, taken: list[str]) -> str:
+    """``wanted``, with underscores after it while a column of that name (in any case) is there."""
+    known = {c.lower() for c in taken}
+    while wanted.lower() in known:
+        wanted += "_"
+    return wanted
 
 
 class Scratch:

@@ -5,12 +5,16 @@ characters shares at least T = n - q + 1 - q e of the item's q-grams inside a di
 overlap by half hold every spread of e. Bands that reach T are verified by banded alignment, and regions within the edit
 budget e = floor(error n) (less where T would fall under 1) are matches, with positions in the original text.
 
-The items are held by every task, so they come in blocks of at most ``block_chars`` characters, each streamed against all
-documents; the scan itself has no shuffle.
+An item of fewer than q characters has no q-gram; its own length takes the place of q and no edit is left to it, so it
+matches where it stands as whole words.
 
-Edge cases: null or empty text has no match; null items and items with fewer than q normalised characters aren't searched;
-equal items all match; repeated rows give repeated matches; very long texts are handled in overlapping pieces; an empty
-table on either side gives an empty result; other columns are ignored.
+The items are held by every task, so they come in blocks of about ``block_chars`` characters (a longer item is a block of
+its own). One block is one scan without a shuffle. Of several, a bitmap of all their q-grams, of bounded size, first sifts
+the documents in one scan, and only those with enough q-grams meet the blocks, one after another.
+
+Edge cases: null or empty text has no match; null items and items without a letter or digit aren't searched; equal items
+all match, also those without an id; repeated rows give repeated matches; very long texts are handled in overlapping
+pieces; an empty table on either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import mix64
+from linkloom.llm.common import Scratch, mix64
 
 PIECE = 1 << 20
 
@@ -93,15 +97,22 @@ def banded_distance(pattern: np.ndarray, text: np.ndarray, low: int, high: int,
     return int(row[best]), int(offsets[best] + len(pattern))
 
 
+def item_points(text: str) -> np.ndarray:
+    points, _ = normalise(text)
+    return points[:-1] if len(points) and points[-1] == 32 else points
+
+
 class ItemIndex:
-    def __init__(self, items: list[tuple[int, str]], q: int, error: float):
+    def __init__(self, items: list[tuple[int | None, str]], q: int, error: float):
         self.q, self.ids, self.points, self.budget, self.need = q, [], [], [], []
+        self.short: dict[int, dict[int, list[int | None]]] = {}  # length -> hash of the whole item -> ids
         hashes, owner, place = [], [], []
         for item, text in items:
-            points, _ = normalise(text)
-            while len(points) and points[-1] == 32:
-                points = points[:-1]
+            points = item_points(text)
             if len(points) < q:
+                if len(points):
+                    own = int(qgram_hashes(points, len(points))[0])
+                    self.short.setdefault(len(points), {}).setdefault(own, []).append(item)
                 continue
             grams = qgram_hashes(points, q)
             e = min(int(error * len(points)), (len(grams) - 1) // q)
@@ -124,26 +135,39 @@ class ItemIndex:
         self.seen[(self.hashes & self.mask).astype(np.int64)] = True
         self.reach = max((len(p) + 2 * e + 2 for p, e in zip(self.points, self.budget)), default=0)
 
-    def matches(self, text: str | None, first_only: bool = False) -> list[tuple[int, int, int, int]]:
-        """(item id, start, end, edits): for each item the matches that don't overlap a better one of the same item."""
-        if not text or not len(self.hashes):
+    def matches(self, text: str | None, first_only: bool = False) -> list[tuple[int | None, int, int, int]]:
+        """(item id, start, end, edits): for each item the matches that don't overlap a better one of the same item.
+
+        ``first_only``: one match of an item of q characters or more, or none; items shorter than that prove nothing.
+        """
+        if not text:
             return []
         points, at = normalise(text)
         found: dict[int, list[tuple[int, int, int]]] = {}
-        for begin in range(0, max(1, len(points)), PIECE):
+        for begin in range(0, max(1, len(points)), PIECE) if len(self.hashes) else ():
             piece = points[begin : begin + PIECE + 2 * self.reach]
             for k, s, e, d in self._piece(piece, first_only):
-                found.setdefault(k, []).append((d, begin + s, begin + e))
                 if first_only:
                     return [(self.ids[k], 0, 0, d)]
-        out = []
+                found.setdefault(k, []).append((d, begin + s, begin + e))
+        out = [] if first_only else [(item, int(at[s]), int(at[e - 1]) + 1, 0) for s, e, item in self._short(points)]
         for k, spans in found.items():
             kept: list[tuple[int, int, int]] = []
             for d, s, e in sorted(set(spans)):
                 if all(e <= s2 or s >= e2 for _, s2, e2 in kept):
                     kept.append((d, s, e))
             out += [(self.ids[k], int(at[s]), int(at[e - 1]) + 1, d) for d, s, e in kept]
-        return sorted(out, key=lambda m: (m[1], m[2], m[0]))
+        return sorted(out, key=lambda m: (m[1], m[2], m[0] is None, m[0] or 0, m[3]))
+
+    def _short(self, points: np.ndarray) -> Iterator[tuple[int, int, int | None]]:
+        """(start, end, item) of the short items that stand as whole words."""
+        blank = np.concatenate(([True], points == 32, [True]))
+        for n, owners in self.short.items():
+            grams = qgram_hashes(points, n)
+            known = np.fromiter(owners, np.uint64, len(owners))
+            for s in np.flatnonzero(np.isin(grams, known) & blank[: len(grams)] & blank[n + 1 : n + 1 + len(grams)]).tolist():
+                for item in owners[int(grams[s])]:
+                    yield s, s + n, item
 
     def _piece(self, points: np.ndarray, first_only: bool) -> Iterator[tuple[int, int, int, int]]:
         grams = qgram_hashes(points, self.q)
@@ -184,16 +208,71 @@ class ItemIndex:
                     return
 
 
-def item_blocks(benchmark: DataFrame, q: int, error: float, block_chars: int, id_col: str = "item_id", text_col: str = "text") -> list[ItemIndex]:
-    """Indexes of at most about ``block_chars`` characters each; one block at a time passes through the driver."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // block_chars)
-    out = []
-    for b in range(blocks):
-        block = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()
-        out.append(ItemIndex([(r["id"], r["text"]) for r in block], q, error))
-    return out
+class ItemBlocks:
+    """The benchmark in blocks of about ``block_chars`` characters; one block at a time passes through the driver."""
+
+    def __init__(self, benchmark: DataFrame, q: int, error: float, block_chars: int, id_col: str = "item_id", text_col: str = "text"):
+        self.q, self.error = q, error
+        self.rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+        chars = self.rows.agg(F.sum(F.length("text"))).first()[0] or 0
+        self.count = -(-chars // block_chars)
+
+    def block(self, b: int) -> ItemIndex:
+        mine = self.rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(self.count)) == b).orderBy("id", "text")
+        return ItemIndex([(r["id"], r["text"]) for r in mine.collect()], self.q, self.error)
+
+    def sieve(self) -> "Sieve":
+        out = Sieve(self.q)
+        for b in range(self.count):
+            out.add(self.block(b))
+        return out
+
+
+class Sieve:
+    """A bitmap of the q-grams of all items, 16 MB at any size, and the least number that a match shares."""
+
+    BITS = 27
+
+    def __init__(self, q: int):
+        self.q, self.need, self.lengths = q, None, set()
+        self.bits = np.zeros(1 << self.BITS - 3, np.uint8)
+
+    def _at(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = grams & np.uint64((1 << self.BITS) - 1)
+        return (low >> np.uint64(3)).astype(np.int64), np.uint8(1) << (low & np.uint64(7)).astype(np.uint8)
+
+    def add(self, index: ItemIndex) -> None:
+        byte, bit = self._at(index.hashes)
+        np.bitwise_or.at(self.bits, byte, bit)
+        self.need = min([x for x in (self.need, *index.need) if x is not None], default=None)
+        self.lengths |= set(index.short)
+
+    def keeps(self, text: str | None, short: bool = True) -> bool:
+        """No text with a match is dropped: it holds ``need`` q-grams of the item. Short items (unless not ``short``) keep all."""
+        if not text:
+            return False
+        if self.lengths and short:
+            return True
+        points, _ = normalise(text)
+        hits = 0
+        for begin in range(0, max(1, len(points)), PIECE) if self.need else ():
+            byte, bit = self._at(qgram_hashes(points[begin : begin + PIECE + self.q - 1], self.q))
+            hits += int(np.count_nonzero(self.bits[byte] & bit))
+            if hits >= self.need:
+                return True
+        return False
+
+
+def _judged(judge, text: str):
+    """The column judge(text)."""
+
+    @F.pandas_udf("boolean")
+    def run(texts):
+        import pandas as pd
+
+        return pd.Series([bool(judge(t)) for t in texts], dtype=bool)
+
+    return run(F.col(text))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = 10, error: float = 0.08, block_chars: int = 4_000_000) -> DataFrame:
@@ -212,23 +291,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         return run
 
-    out = None
-    for index in item_blocks(benchmark, q, error, block_chars):
-        part = source.mapInArrow(search(spark.sparkContext.broadcast(index)), ddl)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], ddl)
+    blocks = ItemBlocks(benchmark, q, error, block_chars)
+    if not blocks.count:
+        return spark.createDataFrame([], ddl)
+    if blocks.count == 1:
+        return source.mapInArrow(search(spark.sparkContext.broadcast(blocks.block(0))), ddl)
+    scratch = Scratch(spark, "leaks")
+    sieve = spark.sparkContext.broadcast(blocks.sieve())
+    sifted = scratch.save(source.where(_judged(lambda t: sieve.value.keeps(t), "text")), "sifted")
+    out = spark.createDataFrame([], ddl)
+    for b in range(blocks.count):
+        shared = spark.sparkContext.broadcast(blocks.block(b))
+        out = out.unionByName(scratch.save(sifted.mapInArrow(search(shared), ddl), f"found-{b}"))
+        shared.destroy()
+    return out
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", q: int = 10, error: float = 0.08, block_chars: int = 4_000_000) -> DataFrame:
-    """The rows of ``docs`` without a match; rows with null text stay."""
-    for index in item_blocks(benchmark, q, error, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def leaks(texts):
-            import pandas as pd
-
-            return pd.Series([bool(shared.value.matches(t, first_only=True)) for t in texts], dtype=bool)
-
-        docs = docs.where(~leaks(F.col(text_col)))
-    return docs
+    """The rows of ``docs`` without a match of an item of q characters or more (a shorter one, as a single word, doesn't
+    tell a benchmark passage from other text); rows with null text stay."""
+    spark = docs.sparkSession
+    blocks = ItemBlocks(benchmark, q, error, block_chars)
+    if not blocks.count:
+        return docs
+    if blocks.count == 1:
+        index = spark.sparkContext.broadcast(blocks.block(0))
+        return docs.where(~_judged(lambda t: index.value.matches(t, first_only=True), text_col))
+    # rows that the sieve rules out stay as they are; the others go past one block after another
+    scratch = Scratch(spark, "leaks")
+    sieve = spark.sparkContext.broadcast(blocks.sieve())
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = scratch.save(docs.select(row.alias("row"), _judged(lambda t: sieve.value.keeps(t, False), text_col).alias("suspect")), "marked")
+    left = marked.where("suspect")
+    for b in range(blocks.count):
+        shared = spark.sparkContext.broadcast(blocks.block(b))
+        left = scratch.save(left.where(~_judged(lambda t, shared=shared: shared.value.matches(t, first_only=True), f"row.{text_col}")), f"left-{b}")
+        shared.destroy()
+    return marked.where("NOT suspect").unionByName(left).select("row.*")

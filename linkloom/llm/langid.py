@@ -9,7 +9,7 @@ The model is fitted on a bounded, hash-drawn sample of labelled rows (``per_lang
 prediction is map-only over whole texts. Labels are rows whose crc32(id as text) mod 4 is not 2.
 
 Edge cases: null text, empty text and text without a letter give ``und`` with score 0; without labelled rows everything
-is ``und``; repeated rows give equal results; very long texts are counted in full in one pass; other columns are ignored.
+is ``und``; rows with a null id are predicted but not learned from; repeated rows give equal results; very long texts are counted in full in one pass; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,8 +64,12 @@ def _em(p: np.ndarray, c: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
     return pi, float(c @ np.log(p @ pi))
 
 
-def infer_mixture(logp: np.ndarray, where: np.ndarray, counts: np.ndarray, rounds: int = 25, floor: float = 0.05, shift: float = 1.0) -> tuple[np.ndarray, float]:
-    """Proportions by language (0 outside the chosen set) and a score of the largest: its smoothed share."""
+def infer_mixture(logp: np.ndarray, where: np.ndarray, counts: np.ndarray, rounds: int = 25, floor: float = 0.005, shift: float = 1.0) -> tuple[np.ndarray, float]:
+    """Proportions by language (0 outside the chosen set) and a score of the largest: its smoothed share.
+
+    The sets tried are the single best language, all languages, and what is left as languages below ``floor`` or else the
+    smallest one are dropped in turn.
+    """
     k = logp.shape[1]
     rows = logp[where].astype(np.float64)
     c = counts.astype(np.float64)

@@ -2,13 +2,13 @@
 
 A document's set holds its distinct ``k``-word shingles. Two sets of Jaccard similarity t or more share a token within
 their prefixes of n - ceil(t n) + 1 tokens under every order of all tokens, and the prefixes share at least
-ceil(t/(1+t) (n+m)) - max(n - p, m - q) tokens. The orders put frequent tokens last, by classes of frequency, and differ in a hash; candidates must
-pass under all of them before they are verified on the whole sets.
+ceil(t/(1+t) (n+m)) - max(n - p, m - q) tokens. The orders put frequent tokens last, by classes of frequency, and differ in
+a hash. Every candidate, wherever it comes from, must pass under all of them before it is verified on the whole sets.
 
-Groups of near copies never become all pairs: equal sets are one node; then, in a few rounds, every node is verified
-against the centre of its token groups with which it shares most, and connected nodes take one label. Only pairs across
-labels are then enumerated from the first order's prefixes, shortened by the places where a first shared token can stand;
-the orders' whole prefixes are intersected pair by pair, and what passes all is verified, so no link is lost.
+Groups of near copies never become all pairs: equal sets are one node; then, in a few rounds, every node is a candidate
+with the centre of its token groups with which it shares most, and connected nodes take one label. Only pairs across
+labels are then enumerated from the first order's prefixes, shortened by the places where a first shared token can stand.
+The orders' whole prefixes are intersected pair by pair, and what passes all is verified, so no link is lost.
 
 Which tokens are frequent is counted in two steps: in the hash-ordered prefixes of all documents, then in the whole sets
 whose prefixes are frequent tokens to the share ``crowded`` or more, since only those have frequent tokens left in front
@@ -87,7 +87,8 @@ def _describe(k: int, percent: int):
     return run
 
 
-def _prefix_arrays(k: int, percent: int, order: int, hot):
+def _prefix_arrays(k: int, percent: int, hot):
+    """The first order's prefix of every set."""
     schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +97,7 @@ def _prefix_arrays(k: int, percent: int, order: int, hot):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingles(text.as_py(), k)
                 if len(s):
-                    rows.append((doc, set_key(s), len(s), to_signed(prefix_of(s, order, hot.value, percent))))
+                    rows.append((doc, set_key(s), len(s), to_signed(prefix_of(s, 0, hot.value, percent))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -213,7 +214,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # one row a distinct set; its first order's prefix
     ddl = "id long, node long, n long, prefix array<long>"
-    with_prefix = source.where("text IS NOT NULL").mapInArrow(_prefix_arrays(k, percent, 0, hot), ddl)
+    with_prefix = source.where("text IS NOT NULL").mapInArrow(_prefix_arrays(k, percent, hot), ddl)
     nodes = with_prefix.groupBy("node").agg(F.min_by("prefix", F.coalesce("id", F.lit((1 << 63) - 1))).alias("prefix"), F.min("id").alias("rep"), F.first("n").alias("n"))
     nodes = scratch.save(nodes, "nodes")
     release_shuffles(spark)
@@ -233,18 +234,22 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sizes_fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
     def texts_of(chosen: DataFrame, name: str) -> DataFrame:
-        """(node, text) of the chosen nodes; a short list of ids goes to the documents, else both meet in a shuffle."""
+        """(node, n, text, prefixes) of the chosen nodes, a prefix for each order; a short list of ids goes
+        to the documents, else both meet in a shuffle."""
         live = scratch.save(chosen.distinct().join(nodes.select("node", "rep"), "node"), f"{name}-nodes")
         short = live.count() <= broadcast_bound
         send = F.broadcast if short else (lambda df: df)
         named = source.withColumnRenamed("doc_id", "rep").join(send(live.where("rep IS NOT NULL")), "rep").select("node", "text")
         unnamed = source.where("doc_id IS NULL AND text IS NOT NULL").mapInArrow(_with_node(k), "node long, text string").join(send(live.where("rep IS NULL").select("node")), "node").select("node", "text")
-        return scratch.save(named.unionByName(unnamed).mapInArrow(_own_text(k), "node long, text string"), name)
+        return scratch.save(named.unionByName(unnamed).mapInArrow(_own_text(k, percent, orders, hot), "node long, n long, text string, prefixes array<array<long>>"), name)
 
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-        right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a long, b long")
+        """The pairs (a, b) that pass the filters of all orders and then the comparison of the whole sets."""
+        side = lambda s: texts.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("text").alias(f"t{s}"), F.col("prefixes").alias(f"p{s}"))
+        both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+        for i in range(orders):
+            both = both.where(F.size(F.array_intersect(F.col("pa")[i], F.col("pb")[i])) >= least_shared)
+        return both.select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a long, b long")
 
     labels = None
     for turn in range(rounds):
@@ -269,12 +274,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs = scratch.save(both.where(F.size(F.array_intersect("pa", "pb")) >= least_shared).select("a", "b", "n_a", "n_b"), "pairs-0")
     release_shuffles(spark)
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), "texts-last")
-    for order in range(1, orders):
-        prefixes = texts.select(F.lit(0).cast("long").alias("id"), "text").mapInArrow(_prefix_arrays(k, percent, order, hot), ddl).groupBy("node").agg(F.first("prefix").alias("prefix"))
-        prefixes = scratch.save(prefixes, f"prefixes-{order}")
-        both = pairs.join(prefixes.select(F.col("node").alias("a"), F.col("prefix").alias("pa")), "a").join(prefixes.select(F.col("node").alias("b"), F.col("prefix").alias("pb")), "b")
-        pairs = scratch.save(both.where(F.size(F.array_intersect("pa", "pb")) >= least_shared).select("a", "b", "n_a", "n_b"), f"pairs-{order}")
-    links = scratch.save(verify(pairs.select("a", "b"), texts), "links-last")
+    links = scratch.save(verify(pairs, texts), "links-last")
     labels = _merge(scratch, labels, links, "labels-last")
     scratch.drop("texts-last", "postings")
     release_shuffles(spark)
@@ -337,13 +337,22 @@ def _with_node(k: int):
     return run
 
 
-def _own_text(k: int):
-    """Of the texts under a representative's id, those that have the node's set (rows may share an id)."""
+def _own_text(k: int, percent: int, orders: int, hot):
+    """Of the texts under a representative's id, those that have the node's set (rows may share an id), with the set's size
+    and its prefix under each order."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("text", pa.string()), ("prefixes", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = pa.array([set_key(shingles(t.as_py(), k)) == node for node, t in zip(batch.column(0).to_pylist(), batch.column(1))], pa.bool_())
-            yield batch.filter(mask)
+            mask, sizes, prefixes = [], [], []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tokens = shingles(text.as_py(), k)
+                mask.append(set_key(tokens) == node)
+                if mask[-1]:
+                    sizes.append(len(tokens))
+                    prefixes.append([to_signed(prefix_of(tokens, order, hot.value, percent)) for order in range(orders)])
+            own = batch.filter(pa.array(mask, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sizes, pa.int64()), own.column(1).cast(pa.string()), pa.array(prefixes, pa.list_(pa.list_(pa.int64())))], schema=schema)
 
     return run
 

@@ -67,6 +67,30 @@ def test_mixed_documents_without_ids(spark):
     assert got == {key: n for key, n in want.items() if n}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_mixed_documents_take_what_the_plan_takes(spark, seed):
+    """Word for word, with repeated rows at the cut, names that the operator uses inside, and a hot source."""
+    r = random.Random(seed)
+    rows = [(r.choice([i, 7, None]), "ab " * r.choice([0, 3, 3, 5]) + r.choice(["x", "y"]), r.choice(["a", "a", "a", "b", None]), 1, "n") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __size long, named string")
+    want, got = defaultdict(int), defaultdict(int)
+    for x in mixing.mix_sources(docs).collect():
+        want[x["source"], x["doc_id"], x["size"]] += x["taken"]
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    whole = {(i, s): defaultdict(int) for i, _, s, _, _ in rows}
+    for i, t, s, _, _ in rows:
+        whole[i, s][len(t.split())] += 1
+    for x in mixed.collect():
+        assert (x["__size"], x["named"]) == (1, "n")
+        size = next(len(t.split()) for i, t, s, _, _ in rows if (i, s) == (x["doc_id"], x["source"]) and t.startswith(x["text"]) and (t == x["text"] or want[s, i, len(t.split())] % len(t.split())))
+        got[x["source"], x["doc_id"], size] += len(x["text"].split())
+    assert sum(got.values()) == sum(want.values())
+    by_source = lambda d: {s: sum(n for (k, *_), n in d.items() if k == s) for s in ("a", "b", None)}
+    assert by_source(got) == by_source(want)
+    assert mixing.mixed_documents(docs.where("false")).count() == 0
+
+
 # ---------------------------------------------------------------- URL filters
 def test_url_filters_by_brute_force(spark):
     r = random.Random(2)
@@ -89,6 +113,9 @@ def test_url_filters_by_brute_force(spark):
         entries = {(e[0], e[1]) for e in events if e[0] and x["fetched"] and e[1] in keys.get(x["url"], []) and active(e[:2], x["fetched"])}
         assert (x["n_entries"], x["lists"], x["verdict"]) == (len(entries), ",".join(sorted({e[0] for e in entries})), "block" if entries else "allow"), x
     assert got.count() == len(set(caps))
+    # every key hot, then none: the same rows
+    again = [url_filters.filter_captures(spark.createDataFrame(caps, "page_id long, url string, fetched date"), spark.createDataFrame(events, "list string, pattern string, at date, action string"), hot_share=n, hot_rows=1) for n in (3, 100)]
+    assert all(sorted(map(str, a.collect())) == sorted(map(str, got.collect())) for a in again)
     none = spark.createDataFrame([], "list string, pattern string, at date, action string")
     assert url_filters.filter_captures(spark.createDataFrame(caps, "page_id long, url string, fetched date"), none).where("verdict = 'block'").count() == 0
 
@@ -151,6 +178,79 @@ def test_shard_documents_with_unmerged_arrivals(spark, tmp_path):
         assert {x["doc_id"] for x in got if x["shard"] == shard} == held and {x["tier"] for x in got if x["shard"] == shard} == {tier}
 
 
+def tier_of(size, small, fanout):
+    tier = 0
+    while size >= small * fanout ** (tier + 1):
+        tier += 1
+    return tier
+
+
+@pytest.mark.parametrize("arrivals", range(1, 11))
+def test_each_version_follows_from_the_last(spark, tmp_path, arrivals):
+    """Sizes on both sides of a tier's limit; every version against a plain simulation, and whole rows at each."""
+    r = random.Random(arrivals)
+    rows = [(i, "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=r.choice([5, 300])))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", small_bytes=1500, fanout=2, target_bytes=6000)
+    store.append(docs, F.col("doc_id") % (arrivals * 2) / 2, arrivals)  # halves: rounded down to a number
+    store.compact(jobs=2)
+    for v in range(1, store.version() + 1):
+        m = store.manifest(v)
+        assert all(x["bytes"] == sum(n for _, n in x["files"]) and x["tier"] >= tier_of(x["bytes"], 1500, 2) for x in m["runs"])
+        assert sorted((x["doc_id"], x["text"]) for x in store.read(v).collect()) == rows
+        left = {x["run"]: x for x in m["runs"]}
+        want, made = dict(left), []
+        for tier in sorted({x["tier"] for x in m["runs"]}):
+            mine = sorted(k for k, x in left.items() if x["tier"] == tier)
+            while len(mine) >= 2:
+                made.append((tier, mine[:2]))
+                for k in mine[:2]:
+                    del want[k]
+                mine = mine[2:]
+        if v == store.version():
+            assert not made
+            continue
+        after = {x["run"]: x for x in store.manifest(v + 1)["runs"]}
+        assert {k: x for k, x in after.items() if k in left} == want
+        fresh = [after[k] for k in sorted(after) if k not in left]
+        assert len(fresh) == len(made)
+        for x, (tier, parts) in zip(fresh, made):
+            ids = lambda runs: sorted(y["doc_id"] for z in runs for p, _ in z["files"] for y in spark.read.parquet(f"{store.root}/{p}").collect())
+            assert x["tier"] == max(tier + 1, tier_of(x["bytes"], 1500, 2)) and ids([x]) == ids([left[k] for k in parts])
+            assert len(x["files"]) <= max(1, round(sum(left[k]["bytes"] for k in parts) / 6000))
+
+
+def test_arrivals_out_of_range_and_clashing_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "t", "own", 5, "mine", "a") for i in range(10)], "doc_id long, text string, shard string, Tier int, version string, __arrival string")
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(docs, F.when(F.col("doc_id") < 9, F.col("doc_id") - 2), 4)
+    assert len(store.manifest()["runs"]) == 9
+    got = store.read()
+    assert {"shard", "shard_", "Tier", "tier_", "version", "version_"} <= set(got.columns)
+    assert {(x["doc_id"], x["shard"], x["Tier"], x["version"], x["version_"], x["__arrival"]) for x in got.collect()} == {(i, "own", 5, "mine", 1, "a") for i in range(10)}
+    store.append(spark.createDataFrame([(99, 1.5)], "doc_id long, more double"))
+    assert store.read().where("doc_id = 99").select("text", "more").first() == (None, 1.5) and store.read().count() == 11
+    for bad in ("doc_id string", "DOC_ID long"):
+        with pytest.raises(ValueError):
+            store.append(spark.createDataFrame([], bad))
+
+
+def test_vacuum_takes_orphans(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", fanout=2)
+    docs = spark.createDataFrame([(i, "t") for i in range(10)], "doc_id long, text string").coalesce(1)
+    store.append(docs)
+    docs.write.parquet(f"{store.root}/data/lost")  # an append that was never committed
+    (tmp_path / "s" / "_manifest" / ".aside-x").write_text("{}")
+    assert store.vacuum() == 0 and store.vacuum(orphan_seconds=-1) == 1
+    assert not (tmp_path / "s" / "_manifest" / ".aside-x").exists() and store.read().count() == 10
+
+
+def test_manifests_elsewhere(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", manifest_root=f"file://{tmp_path}/m")
+    store.append(spark.createDataFrame([(1, "t")], "doc_id long, text string"))
+    assert sorted(p.name for p in (tmp_path / "m").iterdir() if p.suffix == ".json") == ["v00000001.json"] and store.read().count() == 1
+
+
 # ---------------------------------------------------------------- queries against SQL
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):

@@ -172,6 +172,35 @@ def test_leaks_by_brute_force(spark):
     assert {(x["doc_id"], x["item_id"]) for x in split.collect()} == set(got)
 
 
+def test_leaks_of_short_and_nameless_items(spark):
+    """Items shorter than a q-gram match as whole words; equal items without an id all match, in any block."""
+    text = "one two three four five six seven"
+    bench = spark.createDataFrame([(1, text), (None, text), (None, text), (2, "B-2!"), (3, "?!"), (4, ""), (5, None), (2, "B-2!")], "item_id long, text string")
+    rows = [(1, f"x {text} y"), (2, "vitamin b 2, and b2 or b 22"), (3, "B.2"), (None, text), (4, None), (5, "b 2")]
+    want = sorted(map(str, [(1, i, 2, 2 + len(text), 0) for i in (1, None, None)] + [(None, i, 0, len(text), 0) for i in (1, None, None)] + [(2, 2, 8, 11, 0), (3, 2, 0, 3, 0), (5, 2, 0, 3, 0)] * 1 + [(2, 2, 8, 11, 0), (3, 2, 0, 3, 0), (5, 2, 0, 3, 0)]))
+    for size in (4_000_000, 20):
+        got = decontam.find_leaks(frame(spark, rows), bench, block_chars=size)
+        assert sorted(str(tuple(x)) for x in got.collect()) == want
+        kept = decontam.drop_leaking(frame(spark, rows), bench, block_chars=size)
+        assert sorted(x["doc_id"] for x in kept.collect()) == [2, 3, 4, 5] and kept.columns == frame(spark, rows).columns
+
+
+def test_sieve_loses_no_match():
+    r = random.Random(12)
+    items = [(k, prose(r, 12, 10**5)) for k in range(40)]
+    index, sieve = decontam.ItemIndex(items, 10, 0.08), decontam.Sieve(10)
+    sieve.add(index)
+    clean = 0
+    for _ in range(400):
+        chars = list(prose(r, 15) + " " + r.choice(items)[1])
+        for _ in range(r.choice([0, 5, 8, 60])):
+            chars[r.randrange(len(chars))] = r.choice("abcdefgh")
+        text = "".join(chars)
+        assert sieve.keeps(text) or not index.matches(text)
+        clean += not sieve.keeps(prose(r, 60, 10**5))
+    assert clean > 390
+
+
 # ---------------------------------------------------------------- media
 def test_matroska_round_trip(spark):
     r = random.Random(2)
@@ -260,6 +289,82 @@ def test_language_mixture(spark):
     assert langid.fit_language_model(docs.where("false")).predict("abc")[0] == "und"
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_mixture_by_brute_force(seed):
+    """The proportions of expectation-maximisation against the best of a fine grid, and the set against all sets."""
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    p = r.dirichlet(np.full(300, 0.05), 3).T + 1e-6
+    p /= p.sum(0)
+    true = np.array([[1, 0, 0], [0.5, 0.5, 0], [0.7, 0, 0.3], [0.4, 0.3, 0.3], [0.03, 0.97, 0]][seed])
+    counts = r.multinomial(3000, p @ true)
+    where = np.flatnonzero(counts)
+    c = counts[where]
+    shares, _ = langid.infer_mixture(np.log(p), where, c, rounds=200)
+    likelihood = lambda pi, cols: float(c @ np.log(p[where][:, cols] @ pi))
+    best = {}
+    for size in (1, 2, 3):
+        for cols in itertools.combinations(range(3), size):
+            grid = [x for x in itertools.product(np.linspace(0.01, 1, 100), repeat=size) if abs(sum(x) - 1) < 1e-9]
+            at = max(grid, key=lambda x: likelihood(np.array(x), list(cols)))
+            best[cols] = (likelihood(np.array(at), list(cols)) / 3 - (size - 1) * np.log(c.sum() / 3), at)
+    cols = max(best, key=lambda k: best[k][0])
+    assert set(np.flatnonzero(shares)) == set(cols)
+    assert np.abs(shares[list(cols)] - np.array(best[cols][1])).max() < 0.03
+
+
+def test_language_edges(spark):
+    rows = [(None, "the then this", "aa"), (1, "the then this that", "aa"), (2, "der die das", "bb"), (3, "der die das", "bb"), (3, "der die das", None)]
+    docs = frame(spark, rows).withColumnRenamed("words", "lang_pred").withColumnRenamed("size", "score")
+    got = langid.identify_languages(docs, langid.fit_language_model(docs)).collect()
+    assert len(got) == len(rows) and {x["lang_pred"] for x in got if x["doc_id"] in (2, 3)} == {"bb"}
+    assert langid.identify_languages(docs.where("false"), langid.fit_language_model(docs)).count() == 0
+
+
+def test_threats_and_long_clauses():
+    m = toxicity.ToxicityModel({"idiot": 1.0}, toxicity.DEFAULT)
+    tags = lambda t: [x[0] for c in m.clauses(t) for x in c]
+    assert tags("I will kill you") == ["Ty"] == tags("you will be killed") and tags("they kill time") == tags("kill") == []
+    assert tags("I will not kill you") == ["ty"] and tags("he said I will kill you") == ["Try"]
+    assert tags("he said " + "word " * 30 + "idiot") == ["Ir"] and tags("you " + "w" * 900 + " idiot") == ["Iy"]
+    assert m.score("I will kill you") > 0.5 > m.score("he said you are not an idiot")
+    assert m.score("I will kill you") > m.score("kill you") > m.score("you are not an idiot") > m.score("x")
+    weights = lambda t: [w for c in m.clauses(t) for *_, w in c]
+    assert weights("you are an idiot") > weights("an idiot") > weights("someone said idiot") > weights("never an idiot")
+    assert weights("idiot idiot") == [1.0, 0.5]
+
+
+def test_composed_grammar_equals_the_machines_in_turn():
+    r = random.Random(9)
+    parts = [toxicity.insult(), toxicity.threat(), toxicity.negation(), toxicity.reported(), toxicity.aimed()]
+    for _ in range(500):
+        symbols = r.choices(toxicity.SYMBOLS, k=r.randrange(1, 14))
+        states, state = [p.start for p in parts], toxicity.GRAMMAR.start
+        for x in symbols:
+            y, weight = x, 1.0
+            for i, part in enumerate(parts):
+                states[i], y, w = part.step(states[i], y)
+                weight *= w
+            state, out, got = toxicity.GRAMMAR.step(state, x)
+            assert (out, pytest.approx(weight)) == (y, got)
+
+
+def test_toxicity_labels_with_clashes_conflicts_and_nulls(spark):
+    r = random.Random(10)
+    rows = [(i, prose(r, 30) + (" blarg" if i % 4 == 0 else "")) for i in range(200)] + [(None, "blarg you"), (900, "x")]
+    labels = [(i, int(i % 4 == 0), "t", i, 0.1) for i in range(200)] + [(4, 0, "t", 1, 0.2), (None, 1, "t", 1, 0.3), (900, None, "t", 1, 0.3)]
+    known = spark.createDataFrame(labels, "doc_id long, toxic int, text string, id long, score double")
+    model = toxicity.fit_toxicity(frame(spark, rows), known)
+    assert "blarg" in model.insults
+    got = toxicity.score_toxicity(frame(spark, rows), model).collect()
+    assert len(got) == len(rows) and next(x for x in got if x["doc_id"] is None)["score"] > 0.5
+    again = toxicity.fit_toxicity(frame(spark, rows).repartition(7), known.repartition(3))
+    assert again.insults == model.insults and again.weights.tolist() == pytest.approx(model.weights.tolist(), abs=1e-9)
+
+
 def test_grammar():
     m = toxicity.ToxicityModel({"idiot": 1.0}, toxicity.np.array([-2.0, 3.0, 0.5, 0.5, 0.5, 1.0, 0.0, 0.5]))
     tags = lambda t: [x[0] for c in m.clauses(t) for x in c]

@@ -78,3 +78,13 @@ INDIC = {
     0x3E: "aa", 0x3F: "i", 0x40: "ii", 0x41: "u", 0x42: "uu", 0x43: "r", 0x46: "e", 0x47: "e", 0x48: "ai", 0x49: "on",
     0x4A: "o", 0x4B: "o", 0x4C: "au",
 } | {0x66 + d: str(d) for d in range(10)}
+
+# Cyrillic, Greek, Hebrew and Arabic letters, in the order of their alphabets.
+CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e io zh z i i k l m n o p r s t u f kh ts ch sh shch  y  e iu ia".split(" ")))
+CYRILLIC |= {"і": "i", "ї": "i", "є": "ie", "ґ": "g", "ў": "u", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "c", "ђ": "dj", "џ": "dz"}
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split()))
+HEBREW = dict(zip("אבגדהוזחטיךכלםמןנסעףפץצקרשת", " b g d h v z kh t y k k l m m n n s  p p ts ts k r sh t".split(" ")))
+ARABIC = dict(zip("ءابتثجحخدذرزسشصضطظعغفقكلمنهويىةآأإؤئپچژگکی", " a b t th j h kh d dh r z s sh s d t z  g f q k l m n h w y a t a a a w y p ch zh g k y".split(" ")))
+
+# Syllables that the names of kana spell otherwise than they sound.
+KANA = {"si": "shi", "ti": "chi", "tu": "tsu", "hu": "fu", "zi": "ji", "di": "ji", "du": "zu"}

@@ -5,7 +5,9 @@ Every function takes a string Column and treats null as the empty string.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,22 +15,64 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import dictionaries as D
 
+# Words for a missing value, name markers, and web domains.
 NULL_WORDS = r"(?i)<\s*null\s*>|\bnull\b|\bnone\b|\bn/?a\b|\bnil\b"
 MARKERS = r"(?i)\b(?:d\s*/\s*b\s*/\s*a|dba|d\.b\.a\.?|t\s*/\s*a|trading as|doing business as|aka|a\.k\.a\.?|f\s*/\s*k\s*/\s*a|fka|formerly known as|formerly)\b\s*:?"
 DOMAIN = r"(?i)(?:https?://)?(?:www\.)?([a-z0-9][a-z0-9-]*)\.(?:com|net|org|in|co\.in|fr|biz|us|info)\b"
 
 
+def _by_name(c: str) -> str | None:
+    """Letters from the character's name: syllables and kana as they are called, letters by the start of their name."""
+    name = unicodedata.name(c, "")
+    if found := re.search(r"SYLLABLE (?:GLOTTAL )?([A-Z]+)|(?:KATAKANA|HIRAGANA) LETTER (?:SMALL )?([A-Z]+)", name):
+        sound = (found[1] or found[2]).lower()
+        return D.KANA.get(sound, sound) if found[2] else sound
+    if found := re.search(r"(?:LETTER|CHARACTER)(?: (?:FINAL|SMALL|SHORT|LONG|CAPITAL|SARA))* ([A-Z]+)", name):
+        return re.match("[AEIOU]|[^AEIOU]+", found[1])[0].lower()
+    return None
+
+
 def _letters(c: str) -> str:
-    if c in D.LATIN:
-        return D.LATIN[c]
+    """ASCII for any character. An ideograph, whose reading no rule gives, becomes a word of its own, so that equal names stay
+    equal: z and its code point in the letters a to p."""
+    if c.isascii():
+        return c
+    for table in (D.LATIN, D.CYRILLIC, D.GREEK, D.HEBREW, D.ARABIC):
+        if (out := table.get(c)) is not None:
+            return out
+        if (out := table.get(c.lower())) is not None:
+            return out.title()
     for block in D.INDIC_BLOCKS:
         if block <= ord(c) < block + 0x80:
             return D.INDIC.get(ord(c) - block, "")
-    return unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+    if (digit := unicodedata.decimal(c, None)) is not None:
+        return str(digit)
+    kind, name = unicodedata.category(c), unicodedata.name(c, "")
+    if "IDEOGRAPH" in name:
+        return f" z{''.join(chr(97 + int(x, 16)) for x in f'{ord(c):04x}')} "
+    if "SYLLABLE" in name or "KATAKANA LETTER" in name or "HIRAGANA LETTER" in name:
+        return _by_name(c)
+    if kind[0] in "MC":
+        return ""
+    plain = unicodedata.normalize("NFKD", c)
+    if plain != c:
+        return "".join(_letters(x) for x in plain)
+    return (_by_name(c) or "") if kind[0] == "L" else " "
+
+
+class _Table(dict):
+    """Code point to ASCII, worked out when first met."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = _letters(chr(code))
+        return out
+
+
+_ASCII = _Table()
 
 
 def to_ascii(text: str) -> str:
-    return text if text.isascii() else "".join(c if c.isascii() else _letters(c) for c in text)
+    return text if text.isascii() else text.translate(_ASCII)
 
 
 def transliterate(col: Column) -> Column:
@@ -61,12 +105,15 @@ def basic_clean(col: Column, ascii_only: bool = False) -> Column:
 
 def fix_leet(token: Column) -> Column:
     """One digit among at least three letters is read as the letter it looks like."""
-    digits, letters = F.length(F.regexp_replace(token, "[^0-9]", "")), F.length(F.regexp_replace(token, "[^a-z]", ""))
-    return F.when((F.length(token) >= 4) & (digits == 1) & (letters >= 3), F.translate(token, "013458", "oleasb")).otherwise(token)
+    size = F.length(token)
+    digits = size - F.length(F.translate(token, "0123456789", ""))
+    letters = size - F.length(F.translate(token, "abcdefghijklmnopqrstuvwxyz", ""))
+    return F.when((size >= 4) & (digits == 1) & (letters >= 3), F.translate(token, "013458", "oleasb")).otherwise(token)
 
 
 def canonical(token: Column, table: dict[str, str]) -> Column:
-    return F.coalesce(F.try_element_at(token_map(table), token), token) if table else token
+    """The table's value. A set tells whether a token has one, so only those that have search the map."""
+    return F.when(token.isin(list(table)), F.try_element_at(token_map(table), token)).otherwise(token) if table else token
 
 
 def unwrap_domain(col: Column) -> Column:
@@ -74,7 +121,10 @@ def unwrap_domain(col: Column) -> Column:
 
 
 def name_tokens(col: Column, synonyms: dict[str, str] | None = None, ascii_only: bool = False) -> Column:
-    return F.transform(tokens(basic_clean(unwrap_domain(col), ascii_only)), lambda t: canonical(canonical(fix_leet(t), D.LEGAL_CANON), synonyms or {}))
+    out = tokens(basic_clean(unwrap_domain(col), ascii_only))
+    for step in (fix_leet, lambda t: canonical(t, D.LEGAL_CANON), *([lambda t: canonical(t, synonyms)] if synonyms else [])):
+        out = F.transform(out, step)  # one step a pass: an expression that takes another's value twice would compute it twice
+    return out
 
 
 def skeleton(token: Column) -> Column:
@@ -88,8 +138,6 @@ def skeleton(token: Column) -> Column:
 
 def skeleton_of(token: str) -> str:
     """The same for one Python string."""
-    import re
-
     if token.isdigit():
         return token
     s = token
@@ -134,7 +182,8 @@ def address_tokens(col: Column, synonyms: dict[str, str] | None = None, ascii_on
     raw = F.regexp_replace(F.coalesce(col, F.lit("")), NULL_WORDS, " ")
     raw = raw if ascii_only else transliterate(raw)
     parts = F.transform(F.split(raw, ","), lambda c: canonical(basic_clean(c, True), D.STATES))
-    return F.transform(tokens(F.array_join(F.filter(parts, lambda c: c != ""), " ")), lambda t: canonical(canonical(t, D.ADDR_CANON), synonyms or {}))
+    out = F.transform(tokens(F.array_join(F.filter(parts, lambda c: c != ""), " ")), lambda t: canonical(t, D.ADDR_CANON))
+    return F.transform(out, lambda t: canonical(t, synonyms)) if synonyms else out
 
 
 def _no_zeros(d: Column) -> Column:
@@ -179,6 +228,15 @@ def block_tokens(core: Column, addr: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.transform(names, lambda t: F.concat(F.lit("n:"), t)), bigrams(names, "nb:"), F.when(F.length(solid) >= 4, F.array(F.concat(F.lit("ns:"), solid))).otherwise(F.array().cast("array<string>")), marked, bigrams(places, "ab:"))))
 
 
+def over_distinct(df: DataFrame, key: str, make: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """df with make(key)'s columns, computed once for each distinct string and joined back; blank ones, which may be a large
+    share of the rows, where they stand."""
+    blank = F.coalesce(F.col(key), F.lit("")) == ""
+    each = df.where(~blank).select(key).distinct()
+    each = each.select(key, *[c.alias(n) for n, c in make(F.col(key)).items()])
+    return df.where(~blank).join(each, key).select(*df.columns, *each.columns[1:]).unionByName(df.where(blank).withColumns(make(F.col(key))))
+
+
 def prepare_records(records: DataFrame, name_synonyms: dict | None = None, addr_synonyms: dict | None = None) -> DataFrame:
     """Raw records (entity_id, business_name, business_address, country) -> prepared records.
 

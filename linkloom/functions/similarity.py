@@ -1,26 +1,46 @@
-"""Two-string similarities. Kernels are plain Python over Arrow batches; each distinct pair of a batch is computed once.
+"""Two-string similarities. Kernels are plain Python that run in one Arrow pass over all columns that need them, each
+distinct pair of a batch once; what built-in functions express is a Column expression.
 
 Ratios lie in 0..100. Two empty strings are equal (100); one empty string against another scores 0.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@functools.lru_cache(1 << 16)
+def _places(text: str) -> dict[str, int]:
+    """A bit mask of its places for each character."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+@functools.lru_cache(1 << 16)
+def _sorted(text: str) -> str:
+    return " ".join(sorted(text.split()))
+
+
+@functools.lru_cache(1 << 16)
+def _token_set(text: str) -> frozenset[str]:
+    return frozenset(text.split())
 
 
 def lcs_length(a: str, b: str) -> int:
     """Bit-parallel longest common subsequence."""
     if len(a) < len(b):
         a, b = b, a
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
+    where = _places(a)
     full = (1 << len(a)) - 1
     s = full
     for c in b:
@@ -53,12 +73,12 @@ def partial_ratio(a: str, b: str) -> float:
 
 
 def token_sort_ratio(a: str, b: str) -> float:
-    return indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return indel_ratio(_sorted(a), _sorted(b))
 
 
 def token_set_ratio(a: str, b: str) -> float:
     """Best of the ratios between the shared tokens and the shared tokens with either side's own."""
-    ta, tb = set(a.split()), set(b.split())
+    ta, tb = _token_set(a), _token_set(b)
     if not ta or not tb:
         return 0.0
     both, left, right = sorted(ta & tb), sorted(ta - tb), sorted(tb - ta)
@@ -77,9 +97,9 @@ def weighted_ratio(a: str, b: str) -> float:
     if longer < 1.5:
         return max(whole, 0.95 * max(token_sort_ratio(a, b), token_set_ratio(a, b)))
     scale = 0.9 if longer <= 8 else 0.6
-    ta, tb = set(a.split()), set(b.split())
+    ta, tb = _token_set(a), _token_set(b)
     parts = 100.0 if ta & tb else partial_ratio(" ".join(sorted(ta - tb)), " ".join(sorted(tb - ta)))
-    return max(whole, scale * partial_ratio(a, b), 0.95 * scale * max(parts, partial_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))))
+    return max(whole, scale * partial_ratio(a, b), 0.95 * scale * max(parts, partial_ratio(_sorted(a), _sorted(b))))
 
 
 def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
@@ -104,13 +124,14 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
     return jaro + lead * weight * (1 - jaro) if jaro > 0.7 else jaro
 
 
+@functools.lru_cache(1 << 14)
 def char_ngrams(text: str, low: int = 2, high: int = 4) -> Counter:
     """Character n-grams inside blank-padded words."""
     out: Counter = Counter()
     for w in text.split():
         w = f" {w} "
-        for n in range(low, high + 1):
-            out.update(w[i : i + n] for i in range(max(1, len(w) - n + 1)))
+        for n in range(low, min(high, len(w)) + 1):
+            out.update(w[i : i + n] for i in range(len(w) - n + 1))
     return out
 
 
@@ -121,62 +142,66 @@ def char_cosine(a: str, b: str) -> float:
     return float(sum(n * y[g] for g, n in x.items()) / np.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values())))
 
 
-def tok_anagram(a: str, b: str) -> float:
-    x, y = ["".join(sorted(t)) for t in a.split()], {"".join(sorted(t)) for t in b.split()}
-    return sum(t in y for t in x) / len(x) if x and y else 0.0
-
+def _letters_in_order(text: str) -> list[str]:
+    return ["".join(sorted(t)) for t in text.split()]
 
-def tok_sorted_ratio(a: str, b: str) -> float:
-    x, y = ["".join(sorted(t)) for t in a.split()], ["".join(sorted(t)) for t in b.split()]
-    return sum(max(indel_ratio(s, t) for t in y) for s in x) / len(x) if x and y else 0.0
 
-
-def char_bag(a: str, b: str) -> float:
-    if not a.split() or not b.split():
+def sorted_letters_ratio(a: str, b: str) -> float:
+    """How well the words of ``a`` are spelled by words of ``b`` whatever the order of letters: the mean of each word's best
+    ratio. A pair that its lengths alone keep below the best so far isn't compared."""
+    mine, other = _letters_in_order(a), _letters_in_order(b)
+    if not mine or not other:
         return 0.0
-    x, y = Counter(a.replace(" ", "")), Counter(b.replace(" ", ""))
-    return sum((x & y).values()) / max(sum(x.values()), sum(y.values()), 1)
+    total = 0.0
+    for word in mine:
+        best = 0.0
+        for o in sorted(other, key=lambda o: abs(len(o) - len(word))):
+            if 200.0 * min(len(o), len(word)) / (len(o) + len(word)) <= best:
+                break
+            best = max(best, indel_ratio(word, o))
+        total += best
+    return total / len(mine)
 
 
-def common_prefix(a: str, b: str) -> float:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return float(n)
+def best_variant(a: tuple[str, ...], b: tuple[str, ...]) -> float | None:
+    """Best token-set ratio over two lists of core names; null where neither has more than one."""
+    return max(token_set_ratio(s, t) for s in a for t in b) if len(a) > 1 or len(b) > 1 else None
 
 
-KERNELS: dict[str, Callable[[str, str], float]] = {
+KERNELS: dict[str, Callable] = {
     "ratio": indel_ratio, "partial": partial_ratio, "tsort": token_sort_ratio, "tset": token_set_ratio, "wratio": weighted_ratio,
-    "jw": jaro_winkler, "char_cos": char_cosine, "anagram": tok_anagram, "sorted_ratio": tok_sorted_ratio, "char_bag": char_bag, "prefix": common_prefix,
+    "jw": jaro_winkler, "char_cos": char_cosine, "sorted_ratio": sorted_letters_ratio, "variants": best_variant,
 }
 
 
-def similarity(kind: str, a: Column, b: Column) -> Column:
-    kernel = KERNELS[kind]
+def with_kernels(df: DataFrame, wanted: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """df with a double column for each name -> (kernel, column, column). One Arrow pass computes all of them; null strings
+    count as empty, and a kernel sees each pair of a batch once."""
+    columns = list(df.columns)
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in wanted]])
+    sides = sorted({c for _, *pair in wanted.values() for c in pair})
 
-    @F.pandas_udf("double")
-    def scored(x: pd.Series, y: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], float] = {}
-        out = np.empty(len(x))
-        for i, pair in enumerate(zip(x, y)):
-            if (v := known.get(pair)) is None:
-                v = known[pair] = kernel(*pair)
-            out[i] = v
-        return pd.Series(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = {}
+            for c in sides:
+                values = batch.column(columns.index(c)).to_pylist()
+                text[c] = [tuple(v) if isinstance(v, list) else v or "" for v in values]
+            found = []
+            for kind, a, b in wanted.values():
+                kernel, known, out = KERNELS[kind], {}, []
+                for pair in zip(text[a], text[b]):
+                    if pair not in known:
+                        known[pair] = kernel(*pair)
+                    out.append(known[pair])
+                found.append(pa.array(out, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*columns, *wanted])
 
-    return scored(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+    return df.mapInArrow(run, schema)
 
 
-def best_variant(a: Column, b: Column) -> Column:
-    """Best token-set ratio over two arrays of core names; null where neither has more than one."""
-
-    @F.pandas_udf("double")
-    def scored(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([max(token_set_ratio(s, t) for s in p for t in q) if len(p) > 1 or len(q) > 1 else None for p, q in zip(x, y)], dtype="float64")
-
-    return scored(a, b)
+def similarity(df: DataFrame, kind: str, a: str = "a", b: str = "b", out: str = "similarity") -> DataFrame:
+    return with_kernels(df, {out: (kind, a, b)})
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
@@ -187,3 +212,30 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda t: t != "")
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many characters two strings share from the start."""
+    n = F.least(F.length(a), F.length(b))
+    same = F.zip_with(F.split(F.substring(a, F.lit(1), n), ""), F.split(F.substring(b, F.lit(1), n), ""), lambda x, y: x == y)
+    other = F.array_position(same, F.lit(False))
+    return F.when(other > 0, other - 1).otherwise(n).cast("double")
+
+
+def anagram_share(a: Column, b: Column) -> Column:
+    """The share of the words of ``a`` that are an anagram of a word of ``b``; 0 where either has no word."""
+    ordered = lambda text: F.transform(_words(text), lambda t: F.array_join(F.array_sort(F.split(t, "")), ""))
+    mine, other = ordered(a), ordered(b)
+    return F.when((F.size(mine) > 0) & (F.size(other) > 0), F.size(F.filter(mine, lambda x: F.array_contains(other, x))) / F.size(mine)).otherwise(0.0)
+
+
+def letters_in_common(a: Column, b: Column) -> Column:
+    """Letters that both have, counted with repetitions, as a share of the longer string; blanks aside."""
+    a, b = F.replace(a, F.lit(" "), F.lit("")), F.replace(b, F.lit(" "), F.lit(""))
+    count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    both = F.transform(F.array_distinct(F.split(a, "")), lambda c: F.least(count(a, c), count(b, c)))
+    return F.when((a != "") & (b != ""), F.aggregate(both, F.lit(0), lambda s, x: s + x) / F.greatest(F.length(a), F.length(b))).otherwise(0.0)

@@ -2,13 +2,15 @@
 
 Input of the join is one row a record: id, ckey, toks (distinct tokens). The product of two records is the sum over
 shared tokens of weight products, an equi-join on (ckey, token) and an aggregate; tokens outside the document-frequency
-window never reach the join, so no token group has more than ``df_cap`` records on a side, and adaptive execution splits
-what is still uneven.
+window (2 to the larger of ``cap`` and ``share`` of the block) never reach the join, and what a frequent token makes is
+dealt to chunks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.windows import top_k
@@ -26,19 +28,22 @@ def token_frequencies(records: DataFrame, low: int = 2, cap: int = 3000, share:
     return df.join(sizes, "ckey").where((F.col("df") >= low) & (F.col("df") <= top))
 
 
-def weighted_postings(records: DataFrame, frequencies: DataFrame) -> DataFrame:
+def weighted_postings(records: DataFrame, frequencies: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, ckey, tok, w: IDF weights of length one for each record."""
-    idf = postings(records).join(frequencies.select("ckey", "tok", F.log(F.col("n") / F.col("df")).alias("idf")), ["ckey", "tok"])
+    idf = postings(records).join(frequencies.select("ckey", "tok", F.log(F.col("n") / F.col("df")).alias("idf"), *carry), ["ckey", "tok"])
     norms = idf.groupBy("id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    return idf.join(norms, "id").where("norm > 0").select("id", "ckey", "tok", (F.col("idf") / F.col("norm")).alias("w"))
+    return idf.join(norms, "id").where("norm > 0").select("id", "ckey", "tok", (F.col("idf") / F.col("norm")).alias("w"), *carry)
 
 
-def cosine_pairs(s1: DataFrame, others: DataFrame, digits: int | None = None, **window) -> DataFrame:
-    """s1_id, o_id, score for pairs that share a token of the window inside their block."""
+def cosine_pairs(s1: DataFrame, others: DataFrame, digits: int | None = None, chunk: int = 4096, **window) -> DataFrame:
+    """s1_id, o_id, score for pairs that share a token of the window inside their block. The S1 of a token with more than
+    ``chunk`` records are dealt to chunks that its other records meet one by one, so no join key makes more than a chunk's
+    pairs for a record."""
     frequencies = token_frequencies(s1.select("id", "ckey", "toks").unionByName(others.select("id", "ckey", "toks")), **window)
-    a = weighted_postings(s1, frequencies).select("ckey", "tok", F.col("id").alias("s1_id"), F.col("w").alias("wa"))
-    b = weighted_postings(others, frequencies).select("ckey", "tok", F.col("id").alias("o_id"), F.col("w").alias("wb"))
-    out = a.join(b, ["ckey", "tok"]).groupBy("s1_id", "o_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
+    frequencies = frequencies.withColumn("chunks", F.ceil(F.col("df") / chunk).cast("int"))
+    a = weighted_postings(s1, frequencies, ("chunks",)).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")).select("ckey", "tok", "chunk", F.col("id").alias("s1_id"), F.col("w").alias("wa"))
+    b = weighted_postings(others, frequencies, ("chunks",)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("ckey", "tok", "chunk", F.col("id").alias("o_id"), F.col("w").alias("wb"))
+    out = a.join(b, ["ckey", "tok", "chunk"]).groupBy("s1_id", "o_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
     return out.withColumn("score", F.round("score", digits)) if digits is not None else out
 
 
@@ -101,3 +106,110 @@ def blocking_report(truth: DataFrame, candidates: DataFrame, n_s1: int, n_others
         F.round(F.col("found") / F.col("n"), 6).alias("pair_recall"), F.round("covered", 6).alias("covered"),
         F.round(1 - F.col("pairs") / F.lit(float(n_s1) * n_others), 6).alias("reduction"), F.round(F.col("pairs") / n_s1, 6).alias("mean_candidates"),
     )
+
+
+def char_terms(text: Column, low: int = 2, high: int = 4) -> Column:
+    """The character n-grams inside blank-padded words, with repetitions; a word shorter than n has none of that length."""
+    padded = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    grams = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(padded, lambda w: F.concat(*[grams(w, n) for n in range(low, high + 1)])))
+
+
+def tfidf(records: DataFrame, text: str, chars: bool = True, min_df: int = 2, low: int = 2, high: int = 4) -> DataFrame:
+    """id, ckey, tok, w: weights of length one over all records, (1 + ln tf)(1 + ln((1 + n) / (1 + df))), of character
+    n-grams (``chars``) or words that stand in ``min_df`` records or more."""
+    terms = char_terms(F.col(text), low, high) if chars else F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda w: w != "")
+    tf = records.select("id", "ckey", F.explode(terms).alias("tok")).groupBy("id", "ckey", "tok").agg(F.count("*").alias("tf"))
+    n = records.agg(F.count("*").alias("n"))
+    df = tf.groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).join(F.broadcast(n))  # n is one row
+    raw = tf.join(df, "tok").select("id", "ckey", "tok", ((1 + F.log("tf")) * (1 + F.log((1 + F.col("n")) / (1 + F.col("df"))))).alias("raw"))
+    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return raw.join(norm, "id").select("id", "ckey", "tok", (F.col("raw") / F.col("norm")).alias("w"))
+
+
+def term_cosine(pairs: DataFrame, weights: DataFrame, out: str) -> DataFrame:
+    """s1_id, o_id, ``out`` for given pairs: the sum over shared terms; 0 where none is shared."""
+    a = pairs.select("s1_id", "o_id").join(weights.select(F.col("id").alias("s1_id"), "tok", F.col("w").alias("wa")), "s1_id")
+    both = a.join(weights.select(F.col("id").alias("o_id"), "tok", F.col("w").alias("wb")), ["o_id", "tok"])
+    sums = both.groupBy("s1_id", "o_id").agg(F.sum(F.col("wa") * F.col("wb")).alias(out))
+    return pairs.select("s1_id", "o_id").join(sums, ["s1_id", "o_id"], "left").na.fill(0.0, [out])
+
+
+def tfidf_top(s1: DataFrame, others: DataFrame, text: str, k: int, least: float = 0.05, reverse: bool = False, chars: bool = True, min_df: int = 2, digits: int | None = None, rows_per_tile: int = 4096) -> DataFrame:
+    """s1_id, o_id, score, rank: each S1's k best records of its block by TF-IDF cosine of ``least`` or more; ``reverse``:
+    each record's k best S1.
+
+    Common n-grams stand in most records, so an inverted index would be no index: records become rows of sparse vectors,
+    dealt to tiles of both sides, and a task multiplies two tiles and keeps k a row.
+    """
+    own = s1.select("id", "ckey", text).unionByName(others.select("id", "ckey", text))
+    weights = tfidf(own, text, chars, min_df).groupBy("id", "ckey").agg(F.collect_list(F.struct("tok", "w")).alias("terms"))  # a record's own terms
+    side = lambda d, name: weights.join(d.select("id").distinct(), "id", "left_semi").select("ckey", F.col("id").alias(name), F.col("terms").alias(f"{name}_terms"))
+    ask, base = ("o_id", "s1_id") if reverse else ("s1_id", "o_id")
+    a, b = side(others if reverse else s1, ask), side(s1 if reverse else others, base)
+    sizes = a.groupBy("ckey").agg(F.ceil(F.count("*") / rows_per_tile).cast("int").alias("ta")).join(b.groupBy("ckey").agg(F.ceil(F.count("*") / rows_per_tile).cast("int").alias("tb")), "ckey")
+    a = a.join(sizes, "ckey").withColumn("i", F.pmod(F.xxhash64(ask), "ta").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tb") - 1)))
+    b = b.join(sizes, "ckey").withColumn("j", F.pmod(F.xxhash64(base), "tb").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ta") - 1)))
+
+    def tile(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        told: dict[str, list] = {ask: [], base: [], "score": []}
+        y = y.sort_values(f"b_{base}") if len(y) else y
+        index: dict[str, list] = {}
+        for at, terms in enumerate(y[f"b_{base}_terms"]):
+            for t in terms:
+                index.setdefault(t["tok"], []).append((at, t["w"]))
+        lists = {t: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for t, p in index.items()}
+        ids = y[f"b_{base}"].to_numpy() if len(y) else []
+        for own_id, terms in zip(x[ask], x[f"{ask}_terms"]):
+            scores = np.zeros(len(y))
+            for t in terms:
+                if t["tok"] in lists:
+                    at, w = lists[t["tok"]]
+                    scores[at] += w * t["w"]
+            scores = np.round(scores, digits) if digits is not None else scores
+            best = np.argsort(-scores, kind="stable")[:k]
+            best = best[scores[best] >= least]
+            told[ask] += [own_id] * len(best)
+            told[base] += [ids[i] for i in best]
+            told["score"] += scores[best].tolist()
+        return pd.DataFrame(told)
+
+    kind = dict(own.dtypes)["id"]
+    b = b.select(*[F.col(c).alias(f"b_{c}") for c in ("ckey", "i", "j", base, f"{base}_terms")])
+    found = a.select("ckey", "i", "j", ask, f"{ask}_terms").groupBy("ckey", "i", "j").cogroup(b.groupBy("b_ckey", "b_i", "b_j")).applyInPandas(tile, f"{ask} {kind}, {base} {kind}, score double")
+    return top_k(found, [ask], "score", [base], k).select("s1_id", "o_id", "score", "rank")
+
+
+def first_candidates(s1: DataFrame, others: DataFrame, k_name: int = 30, k_full: int = 30, k_addr: int = 20, k_reverse: int = 5, least: float = 0.05, limit: int = 200) -> DataFrame:
+    """The first generation's candidates with the blocker that found them: A name, B name and address, C address words, D name
+    from the record's side, E equal phonetic key, F equal postcode and first word. Sides hold id, ckey, n_name, n_addr, c_name,
+    p_name, pc."""
+    def ready(d: DataFrame) -> DataFrame:
+        return d.withColumns({"full": F.concat_ws(" ", "n_name", "n_addr"), "first": F.coalesce(F.split("c_name", " ")[0], F.lit(""))})
+
+    a, b = ready(s1), ready(others)
+    found = {
+        "A": tfidf_top(a, b, "n_name", k_name, least), "B": tfidf_top(a, b, "full", k_full, least), "C": tfidf_top(a, b, "n_addr", k_addr, 0.2, chars=False, min_df=1),
+        "D": tfidf_top(a, b, "n_name", k_reverse, least, reverse=True), "E": exact_key_pairs(a, b, ["ckey", "p_name"], limit), "F": exact_key_pairs(a, b, ["ckey", "pc", "first"], limit),
+    }
+    out = None
+    for name, pairs in found.items():
+        part = pairs.select(F.lit(name).alias("blocker"), "s1_id", "o_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def recall_at(truth: DataFrame, ranked: DataFrame, ks: list[int], rank: str = "rank") -> DataFrame:
+    """k, n_found, recall: true pairs among the k best, for each k, in one pass."""
+    seen = truth.select("s1_id", "o_id").join(ranked.select("s1_id", "o_id", F.col(rank).alias("__r")), ["s1_id", "o_id"], "left")
+    row = seen.agg(F.count("*").alias("n"), *[F.sum((F.coalesce("__r", F.lit(1 << 30)) <= k).cast("long")).alias(f"k{k}") for k in ks])
+    each = row.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(f"k{k}", F.lit(0)).alias("n_found")) for k in ks])).alias("x"))
+    return each.select("x.k", "x.n_found", F.round(F.when(F.col("n") > 0, F.col("x.n_found") / F.col("n")), 6).alias("recall"))
+
+
+def recall_by_source(truth: DataFrame, candidates: DataFrame, absent: int = 255) -> DataFrame:
+    """One row: pair recall of the token candidates, of the vector neighbours, and of both."""
+    sources = candidates.select("s1_id", "o_id", ((F.col("r_rev") < absent) | (F.col("r_fwd") < absent)).alias("tok"), (F.col("r_emb") < absent).alias("emb"))
+    seen = truth.select("s1_id", "o_id").join(sources, ["s1_id", "o_id"], "left")
+    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 6)
+    return seen.agg(F.count("*").alias("n"), share(F.col("tok")).alias("token"), share(F.col("emb")).alias("embedding"), share(F.col("tok") | F.col("emb")).alias("both"))

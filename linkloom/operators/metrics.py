@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.operators.windows import running_sums
+
 
 def f_half(tp: Column, n_pred: Column, n_true: Column) -> Column:
     """1.25 TP / (0.25 T + P); an empty truth scores 1 iff the prediction is empty."""
@@ -32,13 +34,17 @@ def _by_value(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """From counts by score value: equal scores count half."""
-    below = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    each = _by_value(df, score, label).withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    each = running_sums(_by_value(df, score, label), "v", {"upto": "neg"}).withColumn("under", F.col("upto") - F.col("neg"))
     return each.agg((F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """Sum over score values, from the highest, of the recall gained times the precision there."""
-    down = Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = _by_value(df, score, label).withColumns({"tp": F.sum("pos").over(down), "taken": F.sum("n").over(down)})
+    each = running_sums(_by_value(df, score, label), "v", {"tp": "pos", "taken": "n"}, descending=True)
     return each.agg((F.sum(F.col("pos") * F.col("tp") / F.col("taken")) / F.sum("pos")).alias("ap"))
+
+
+def ceiling(s1: DataFrame, candidates: DataFrame, truth: DataFrame) -> DataFrame:
+    """macro F0.5 and its breakdown of a perfect matcher: every true pair among the candidates, and nothing else."""
+    found = candidates.select("s1_id", "o_id").distinct().join(truth.select("s1_id", "o_id"), ["s1_id", "o_id"], "left_semi")
+    return macro_f_half(entity_scores(s1, found, truth))

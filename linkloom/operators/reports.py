@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.metrics import entity_scores
+from linkloom.operators.windows import ranked_in, spearman
 
 ERRORS = ["fn_blocking", "fn_competition", "fn_threshold", "fp_wrong_s1", "fp_no_entity"]
 
@@ -35,12 +36,26 @@ def confidence_profile(pairs: DataFrame, s1: DataFrame, t: float = 0.5, low: flo
     return empty.join(told, "ckey", "left")
 
 
-def error_examples(predicted: DataFrame, truth: DataFrame, per_type: int = 80) -> DataFrame:
-    """Up to ``per_type`` false positives and negatives each, drawn by a hash."""
-    fp = predicted.select("s1_id", "o_id").join(truth, ["s1_id", "o_id"], "left_anti").withColumn("error", F.lit("fp"))
-    fn = truth.select("s1_id", "o_id").join(predicted, ["s1_id", "o_id"], "left_anti").withColumn("error", F.lit("fn"))
-    place = F.row_number().over(Window.partitionBy("error").orderBy(F.xxhash64("s1_id", "o_id"), "s1_id", "o_id"))
-    return fp.unionByName(fn).withColumn("place", place).where(F.col("place") <= per_type).drop("place")
+def error_examples(predicted: DataFrame, truth: DataFrame, scored: DataFrame, candidates: DataFrame, per_type: int = 80) -> DataFrame:
+    """error, s1_id, o_id, p_this, other_s1, p_other: up to ``per_type`` of each error type, drawn by a hash, with the S1 that
+    competes for the record (the predicted one, else the best scored, or the true one) and both probabilities. Each record
+    has one true S1 at most."""
+    pair = ["s1_id", "o_id"]
+    given = predicted.groupBy("o_id").agg(F.min("s1_id").alias("got"))
+    best = scored.groupBy("o_id").agg(F.max_by("s1_id", F.struct("p", "s1_id")).alias("first"))
+    missed = truth.select(*pair).join(candidates.select(*pair, F.lit(1).alias("seen")), pair, "left").join(given, "o_id", "left").join(best, "o_id", "left")
+    missed = missed.where(F.col("got").isNull() | (F.col("got") != F.col("s1_id")))
+    kind = F.when(F.col("seen").isNull(), "fn_blocking").when(F.col("got").isNotNull(), "fn_competition").otherwise("fn_threshold")
+    fn = missed.select(kind.alias("error"), *pair, F.coalesce("got", "first").alias("other_s1"))
+    owner = truth.groupBy("o_id").agg(F.min("s1_id").alias("right"))
+    wrong = predicted.select(*pair).join(owner, "o_id", "left").where(F.col("right").isNull() | (F.col("right") != F.col("s1_id")))
+    fp = wrong.select(F.when(F.col("right").isNull(), "fp_no_entity").otherwise("fp_wrong_s1").alias("error"), *pair, F.col("right").alias("other_s1"))
+    place = F.row_number().over(Window.partitionBy("error").orderBy(F.xxhash64(*pair), *pair))
+    few = fn.unionByName(fp).withColumn("place", place).where(F.col("place") <= per_type).drop("place")
+    p = scored.select(F.col("s1_id").alias("a"), F.col("o_id").alias("b"), "p")
+    mine = few.join(p.withColumnRenamed("p", "p_this"), (F.col("s1_id") == F.col("a")) & (F.col("o_id") == F.col("b")), "left").drop("a", "b")
+    told = mine.join(p.withColumnRenamed("p", "p_other"), (F.col("other_s1") == F.col("a")) & (F.col("o_id") == F.col("b")), "left").drop("a", "b")
+    return told.select("error", *pair, "p_this", "other_s1", "p_other")
 
 
 def list_profile(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -49,18 +64,28 @@ def list_profile(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct(key)).alias("n_duplicate"), *cols)
 
 
-def character_profile(df: DataFrame, group: str, name: str) -> DataFrame:
-    """Shares of names with non-ASCII letters, digits, ampersands, markers, capitals only."""
-    from linkloom.functions.normalize import MARKERS
+#: Words that place an address by a landmark.
+LANDMARKS = r"(?i)\b(?:near|nr|opp|opposite|behind|beside)\b"
+
+
+def character_profile(df: DataFrame, group: str, name: str, addr: str | None = None) -> DataFrame:
+    """Shares of names with non-ASCII letters, digits, ampersands, several variants, capitals only; with ``addr`` also of
+    addresses with a postcode or a landmark (non-ASCII then counts both)."""
+    from linkloom.functions.normalize import name_variants, postal_code
 
-    share = lambda c: F.round(F.avg(c.cast("double")), 6)
-    n = F.col(name)
-    return df.groupBy(group).agg(F.count("*").alias("n"), share(n.rlike(r"[^\u0000-\u007F]")).alias("non_ascii"), share(n.rlike("[0-9]")).alias("digits"), share(n.contains("&")).alias("ampersand"), share(n.rlike(MARKERS)).alias("marker"), share((n == F.upper(n)) & n.rlike("[A-Za-z]")).alias("capitals"))
+    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 6)
+    n, a = F.col(name), F.col(addr) if addr else F.lit("")
+    both = F.concat_ws(" ", n, a)
+    told = [F.count("*").alias("n"), share(both.rlike(r"[^\u0000-\u007F]")).alias("non_ascii"), share(n.rlike("[0-9]")).alias("digits"), share(n.contains("&")).alias("ampersand"), share(F.size(name_variants(n)) > 1).alias("marker"), share((n == F.upper(n)) & (n != F.lower(n))).alias("capitals")]
+    if addr:
+        told += [share(postal_code(a) != "").alias("postcode"), share(a.rlike(LANDMARKS)).alias("landmark")]
+    return df.groupBy(group).agg(*told)
 
 
 def country_shares(df: DataFrame, col: str) -> DataFrame:
     counts = df.groupBy(col).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    total = F.broadcast(counts.agg(F.sum("n").alias("__total")))  # one row
+    return counts.join(total).withColumn("share", F.round(F.col("n") / F.col("__total"), 6)).drop("__total")
 
 
 def hard_negatives(pairs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -72,10 +97,35 @@ def hard_negatives(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 
 def random_negatives(s1: DataFrame, others: DataFrame, truth: DataFrame, seed: int = 0) -> DataFrame:
     """A record of the same block for each S1, drawn by pairing equal hash ranks inside the block."""
-    rank = lambda df, key: df.select("ckey", F.col("id").alias(key), F.row_number().over(Window.partitionBy("ckey").orderBy(F.xxhash64(F.lit(seed), "id"), "id")).alias("r"))
+    spread = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30)
+    rank = lambda df, key: ranked_in(df.select("ckey", "id"), "ckey", spread, ["id"], "r").select("ckey", "r", F.col("id").alias(key))
     return rank(s1, "s1_id").join(rank(others, "o_id"), ["ckey", "r"]).select("s1_id", "o_id").join(truth, ["s1_id", "o_id"], "left_anti")
 
 
+def file_positions(df: DataFrame, key: str, out: str = "pos") -> DataFrame:
+    """key and the row's place in its files as a share of their rows, from the partitions' order and sizes."""
+    marked = df.select(key, F.monotonically_increasing_id().alias("__at"))
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = marked.groupBy(part.alias("part")).agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("part", "n")).alias("__parts"))  # an entry a partition
+    ahead = F.aggregate(F.filter("__parts", lambda x: x["part"] < part), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    total = F.aggregate("__parts", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    return marked.join(F.broadcast(sizes)).select(key, ((ahead + place) / total).alias(out))
+
+
+def row_order_rho(truth: DataFrame, s1_positions: DataFrame, o_positions: DataFrame) -> DataFrame:
+    """One row: Spearman's rho of the places of matching rows; far from 0, the files' order gives matches away."""
+    both = truth.join(s1_positions.select("s1_id", F.col("pos").alias("a")), "s1_id").join(o_positions.select("o_id", F.col("pos").alias("b")), "o_id")
+    return spearman(both, "a", "b")
+
+
+def markdown(rows: DataFrame, title: str, most: int = 1000) -> str:
+    """A report's table as text: at most ``most`` rows, in their order."""
+    got = rows.limit(most).collect()
+    told = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [f"## {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
+    return "\n".join(lines + ["| " + " | ".join(told(v) for v in r) + " |" for r in got]) + "\n"
+
+
 def probe_estimate(country_share: float, score: float, probe_score: float, singleton_share: float) -> float:
     """A country's F from two leaderboard scores, one with its lists blanked."""
     return singleton_share + (score - probe_score) / country_share

@@ -19,7 +19,7 @@ def mine(pairs: DataFrame, min_count: int = 15, min_ratio: float = 0.5, max_diff
     seen = each.groupBy("b").agg(F.count("*").alias("seen"), (F.sum("script") / F.count("*")).alias("script_share"))
     both = each.select("b", F.explode("left").alias("a")).groupBy("b", "a").agg(F.count("*").alias("n"))
     good = both.where(F.col("n") >= min_count).join(seen, "b").where(F.col("n") / F.col("seen") >= min_ratio)
-    good = good.where((F.col("script_share") >= 0.5) | (S.similarity("ratio", F.col("b"), F.col("a")) >= 50))
+    good = S.similarity(good, "ratio", "b", "a", "__ratio").where("script_share >= 0.5 OR __ratio >= 50").drop("__ratio")
     place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
     return good.withColumn("place", place).where("place = 1").drop("place")
 

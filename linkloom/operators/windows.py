@@ -72,12 +72,49 @@ def level_two_columns(pairs: DataFrame, p: str = "p", s1: str = "s1_id", o: str
     return out.withColumn("l1_n_assigned_s1", F.sum(F.col("l1_is_best_o") * hi).over(over_s))
 
 
+def running_sums(df: DataFrame, key: str, sums: dict[str, str], descending: bool = False, ranges: int = 64) -> DataFrame:
+    """df with, for each name -> column, the sum of the column over all rows up to and with this one in the order of ``key``.
+    One row a key value.
+
+    The rows are dealt to about ``ranges`` ranges of the key (bounds by approximate percentiles, one row), each range sums
+    up its own rows, and the totals of the ranges before (one row of ``ranges`` entries) are added, so that no task sees
+    more than its range.
+    """
+    number = F.col(key).cast("double")
+    bounds = df.agg(F.percentile_approx(number, [i / ranges for i in range(1, ranges)], 10_000).alias("__bounds"))
+    before = (lambda b: b < number) if not descending else (lambda b: b > number)
+    dealt = df.join(F.broadcast(bounds)).withColumn("__range", F.size(F.filter(F.array_distinct("__bounds"), before))).drop("__bounds")
+    totals = dealt.groupBy("__range").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
+    totals = totals.agg(F.collect_list(F.struct(F.col("__range").alias("at"), *[F.col(f"__t_{n}").alias(n) for n in sums])).alias("__totals"))
+    inside = Window.partitionBy("__range").orderBy(F.desc(key) if descending else F.asc(key)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = dealt.withColumns({f"__in_{n}": F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(totals))
+    ahead = F.filter("__totals", lambda t: t["at"] < F.col("__range"))
+    kind = dict(totals.select(F.explode("__totals").alias("t")).select("t.*").dtypes)
+
+    def added(name: str) -> Column:
+        parts = F.transform(ahead, lambda t: t[name])
+        return F.col(f"__in_{name}") + F.aggregate(parts, F.lit(0).cast(kind[name]), lambda s, x: s + x)
+
+    return out.withColumns({n: added(n) for n in sums}).drop("__range", "__totals", *[f"__in_{n}" for n in sums])
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: the correlation of average ranks. Ranks come from counts a value, so ties cost nothing."""
     ranked = df.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     for c in ("a", "b"):
-        sizes = ranked.groupBy(c).agg(F.count("*").alias("n"))
-        before = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        ranks = sizes.select(c, (before - F.col("n") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
-        ranked = ranked.join(ranks, c)
+        sizes = running_sums(ranked.groupBy(c).agg(F.count("*").alias("n")), c, {"upto": "n"})
+        ranked = ranked.join(sizes.select(c, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias(f"rank_{c}")), c)
     return ranked.agg(F.corr("rank_a", "rank_b").alias("rho"))
+
+
+def ranked_in(df: DataFrame, group: str, by: Column, ties: list[str], rank_col: str, rows_per_range: int = 4096) -> DataFrame:
+    """df with the place of each row of its group in the order of a number in [0, 1) that is spread evenly, as a hash is.
+    Ranges of about ``rows_per_range`` rows are ranked by themselves and placed behind the sizes of those before them."""
+    sizes = df.groupBy(group).agg(F.ceil(F.count("*") / rows_per_range).alias("__ranges"))
+    dealt = df.withColumn("__by", by).join(sizes, group).withColumn("__range", F.floor(F.col("__by") * F.col("__ranges")))
+    dealt = dealt.repartition(group, "__range")
+    counts = dealt.groupBy(group, "__range").agg(F.count("*").alias("__n"))
+    ahead = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(group, "__range", ahead.alias("__ahead"))
+    inside = F.row_number().over(Window.partitionBy(group, "__range").orderBy("__by", *ties))
+    return dealt.withColumn("__inside", inside).join(counts, [group, "__range"]).withColumn(rank_col, F.col("__ahead") + F.col("__inside")).drop("__by", "__ranges", "__range", "__inside", "__ahead")

@@ -1,9 +1,9 @@
 """The query catalogue: every operator on the test tables, with the same query in SQL where SQL can express it.
 
-The tables hold no business lists, so records are stand-ins: documents are records, their language is the block, ids
-divisible by four play S1 and all others the noisy lists, and equal normalised texts are the truth. All rows and whole
-texts take part. Tokens have Linkage's document-frequency window where a query has no SQL (``whole``); where it has,
-they have the SQL's window of 2 to ``CAP``, which leaves out every token of more than ``CAP`` records of a block.
+The tables hold no business lists, so records are stand-ins. For candidates and decisions, documents are records, their
+language is the block, ids divisible by four play S1 and all others the noisy lists; a record's truth is the smallest S1 of
+an equal normalised text. For features and models, suppliers are S1 and customers mention them, with names and addresses
+drawn from their keys. All rows, whole texts, and the operators' production parameters take part.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ from linkloom.operators import decide as R
 from linkloom.operators import features as P
 from linkloom.operators import metrics as M
 from linkloom.operators import reports as E
+from linkloom.operators import stats as T
 from linkloom.operators import synonyms as Y
 from linkloom.operators import vectors as V
 from linkloom.operators import windows as W
+from linkloom.plans import synthetic as G
+from linkloom.sources import tables as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-CAP = 20
 
 
 def query(sql: str | None = None):
@@ -50,7 +52,7 @@ clean AS (SELECT doc_id AS id, lang AS ckey, trim(regexp_replace(lower(text), '[
 rec AS (SELECT id, ckey, name, list_distinct(list_filter(string_split(name, ' '), lambda t: t <> '')) AS toks, id % 4 = 0 AS is_s1 FROM clean),
 post AS (SELECT id, ckey, is_s1, unnest(toks) AS tok FROM rec),
 sizes AS (SELECT ckey, count(*) AS n FROM rec GROUP BY ckey),
-freq AS (SELECT ckey, tok, df, n FROM (SELECT ckey, tok, count(*) AS df FROM post GROUP BY ckey, tok) JOIN sizes USING (ckey) WHERE df BETWEEN 2 AND 20)"""
+freq AS (SELECT ckey, tok, df, n FROM (SELECT ckey, tok, count(*) AS df FROM post GROUP BY ckey, tok) JOIN sizes USING (ckey) WHERE df >= 2 AND df <= greatest(3000, 0.004 * n))"""
 PAIRS = (
     REC
     + """,
@@ -70,7 +72,7 @@ cand AS (
     UNION ALL SELECT s1_id, o_id, score, NULL, r FROM fwd WHERE r <= 20) GROUP BY 1, 2)"""
 )
 TRUTH = """,
-truth AS (SELECT a.id AS s1_id, b.id AS o_id FROM rec a JOIN rec b ON a.ckey = b.ckey AND a.name = b.name AND a.is_s1 AND NOT b.is_s1)"""
+truth AS (SELECT a.s1_id, b.id AS o_id FROM (SELECT ckey, name, min(id) AS s1_id FROM rec WHERE is_s1 GROUP BY ckey, name) a JOIN rec b ON a.ckey = b.ckey AND a.name = b.name WHERE NOT b.is_s1)"""
 BEST = (
     BOTH
     + TRUTH
@@ -92,19 +94,18 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.withColumns({"toks": F.array_distinct(N.tokens(F.col("name"))), "is_s1": F.col("id") % 4 == 0})
 
 
-def pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec = records(spark, sf_dir).select("id", "ckey", "toks", "is_s1")
-    window = {} if whole else {"cap": CAP, "absolute": True}
-    return B.cosine_pairs(rec.where("is_s1"), rec.where("NOT is_s1"), digits=6, **window)
+    return B.cosine_pairs(rec.where("is_s1"), rec.where("NOT is_s1"), digits=6)
 
 
-def candidates(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return B.top_both_ways(pairs(spark, sf_dir, whole))
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.top_both_ways(pairs(spark, sf_dir))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec = records(spark, sf_dir).select("id", "ckey", F.md5(F.col("name").cast("binary")).alias("h"), "is_s1")
-    a = rec.where("is_s1").select("ckey", "h", F.col("id").alias("s1_id"))
+    a = rec.where("is_s1").groupBy("ckey", "h").agg(F.min("id").alias("s1_id"))
     return a.join(rec.where("NOT is_s1").select("ckey", "h", F.col("id").alias("o_id")), ["ckey", "h"]).select("s1_id", "o_id")
 
 
@@ -112,28 +113,28 @@ def own(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(F.col("doc_id") % 4 == 0).select(F.col("doc_id").alias("s1_id"), F.col("lang").alias("ckey"))
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return candidates(spark, sf_dir, whole).withColumnRenamed("score", "p")
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(spark, sf_dir).withColumnRenamed("score", "p")
 
 
-def decided(spark: SparkSession, sf_dir: str, t: float = 0.5, whole: bool = False) -> DataFrame:
-    return R.decide_threshold(R.ranked_best(scored_pairs(spark, sf_dir, whole)), t)
+def decided(spark: SparkSession, sf_dir: str, t: float = 0.5) -> DataFrame:
+    return R.decide_threshold(R.ranked_best(scored_pairs(spark, sf_dir)), t)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan, tokens, inverted-index join, top-k both ways, one-to-one, threshold."""
-    return decided(spark, sf_dir, 0.3, whole=True).select("s1_id", "o_id", "p")
+    return decided(spark, sf_dir, 0.3).select("s1_id", "o_id", "p")
 
 
 @query(f"WITH {REC} SELECT ckey, tok, df FROM freq")
 def block_token_df(spark, sf):
-    return B.token_frequencies(records(spark, sf), cap=CAP, absolute=True).select("ckey", "tok", "df")
+    return B.token_frequencies(records(spark, sf)).select("ckey", "tok", "df")
 
 
 @query(f"WITH {PAIRS} SELECT id, ckey, tok, round(w, 6) AS w FROM weighted")
 def block_idf(spark, sf):
     rec = records(spark, sf)
-    return B.weighted_postings(rec, B.token_frequencies(rec, cap=CAP, absolute=True)).select("id", "ckey", "tok", F.round("w", 6).alias("w"))
+    return B.weighted_postings(rec, B.token_frequencies(rec)).select("id", "ckey", "tok", F.round("w", 6).alias("w"))
 
 
 @query(f"WITH {PAIRS} SELECT s1_id, o_id, score FROM pairs")
@@ -237,40 +238,63 @@ def cand_merge_outer(spark, sf):
     return B.merge_candidates(candidates(spark, sf), other)
 
 
+@query(f"WITH {BOTH}{TRUTH}{EXACT} SELECT count(*) AS n, round(avg(CASE WHEN c.s1_id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS token, round(avg(CASE WHEN e.s1_id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS embedding, round(avg(CASE WHEN c.s1_id IS NULL AND e.s1_id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS both FROM truth t LEFT JOIN cand c ON c.s1_id = t.s1_id AND c.o_id = t.o_id LEFT JOIN exact e ON e.s1_id = t.s1_id AND e.o_id = t.o_id")
+def block_recall_by_source(spark, sf):
+    other = exact_pairs(spark, sf).select("s1_id", "o_id", F.lit(0.5).alias("emb_score"), F.lit(1).alias("r_emb"))
+    return B.recall_by_source(truth(spark, sf), B.merge_candidates(candidates(spark, sf), other))
+
+
 @query()
 def embed_encode(spark, sf):
     names = table(spark, sf, "part").select("p_partkey", "p_name")
     return V.encode_distinct(names, "p_name").select("p_partkey", "p_name", F.round(V.dot(F.col("vector"), F.col("vector")), 4).alias("norm"))
 
 
+@query()
+def embed_topk_indexed(spark, sf):
+    """The same neighbours through the inverted file."""
+    vec = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("ckey"), V.normalised(F.col("embedding")).alias("vector"))
+    return V.nearest_indexed(vec.where("id % 4 = 0"), vec.where("id % 4 <> 0"), 5, digits=6)
+
+
 @query()
 def scorer_pairs(spark, sf):
-    rec = records(spark, sf).select("id", "text")
-    chosen = V.select_for_scorer(candidates(spark, sf, whole=True).withColumnRenamed("score", "p1"), 1, 0.5)
-    texts = chosen.join(rec.select(F.col("id").alias("s1_id"), F.col("text").alias("text_a")), "s1_id").join(rec.select(F.col("id").alias("o_id"), F.col("text").alias("text_b")), "o_id").select("s1_id", "o_id", "text_a", "text_b")
-    return V.score_text_pairs(texts, V.overlap_scorer).select("s1_id", "o_id", F.round("ce_p", 6).alias("ce_p"))
+    rec = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), V.pair_text(F.col("text"), F.col("source")).alias("text"))
+    chosen = V.select_for_scorer(candidates(spark, sf).withColumnRenamed("score", "p1"), 2, 0.02).select("s1_id", "o_id")
+    texts = chosen.join(rec.select(F.col("id").alias("s1_id"), F.col("text").alias("text_a")), "s1_id").join(rec.select(F.col("id").alias("o_id"), F.col("text").alias("text_b")), "o_id")
+    return V.score_text_pairs(texts, V.PairScorer()).select("s1_id", "o_id", F.round("ce_p", 6).alias("ce_p"))
+
+
+@query("SELECT doc_id, left(text, 120) || ' | ' || left(source, 160) AS pair_text FROM documents")
+def scorer_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", V.pair_text(F.col("text"), F.col("source")).alias("pair_text"))
 
 
 # ---------------------------------------------------------------- normalisation
 CLEAN_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\s*&\s*|\s+\+\s+', ' and ', 'g'), '[''`]', '', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\b([0-9]+)(?:st|nd|rd|th|er|e|eme)\b', '\1', 'g'), '\s+', ' ', 'g'))"
-PLAIN = r"regexp_replace(text, '[^\x00-\x7F]+', ' ', 'g')"
+#: The tables' other letters are accented ones and ß, which SQL can transliterate too.
+ASCII_SQL = "strip_accents(replace({0}, 'ß', 'ss'))"
+PLAIN = ASCII_SQL.format("text")
 
 
 DOMAIN_SQL = r"regexp_replace({0}, '(?:https?://)?(?:www\.)?([a-z0-9][a-z0-9-]*)\.(?:com|net|org|in|co\.in|fr|biz|us|info)\b', ' \1 ', 'gi')"
 
 
-def plain_text():
-    return F.regexp_replace("text", r"[^\x00-\x7F]+", " ")
-
-
 @query(f"SELECT doc_id, {CLEAN_SQL.format(PLAIN)} AS cleaned FROM documents")
 def norm_basic_clean(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", N.basic_clean(plain_text(), True).alias("cleaned"))
+    return table(spark, sf, "documents").select("doc_id", N.basic_clean(F.col("text")).alias("cleaned"))
 
 
-@query()
+@query(f"SELECT doc_id, {PLAIN} AS plain FROM documents")
 def norm_transliterate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", N.basic_clean(F.col("text")).alias("cleaned"))
+    return table(spark, sf, "documents").select("doc_id", N.transliterate(F.col("text")).alias("plain"))
+
+
+@query(f"SELECT p_partkey, p_type, {CLEAN_SQL.format("p_name || ' & ' || p_brand")} AS cleaned FROM part")
+def norm_distinct(spark, sf):
+    """Distinct strings are cleaned once and joined back."""
+    raw = table(spark, sf, "part").select("p_partkey", "p_type", F.concat("p_name", F.lit(" & "), "p_brand").alias("raw"))
+    return N.over_distinct(raw, "raw", lambda c: {"cleaned": N.basic_clean(c)}).drop("raw")
 
 
 LEET_SQL = "CASE WHEN length({0}) >= 4 AND length(regexp_replace({0}, '[^0-9]', '', 'g')) = 1 AND length(regexp_replace({0}, '[^a-z]', '', 'g')) >= 3 THEN translate({0}, '013458', 'oleasb') ELSE {0} END"
@@ -280,9 +304,9 @@ def sql_map(table_: dict[str, str]) -> str:
     return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table_.items()) + "}"
 
 
-@query(f"WITH canon(k, v) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in D.LEGAL_CANON.items())}), toks AS (SELECT doc_id, i, {LEET_SQL.format('t')} AS t FROM (SELECT doc_id, unnest(list_filter(string_split(c, ' '), lambda x: x <> '')) AS t, unnest(range(1, 1 + len(list_filter(string_split(c, ' '), lambda x: x <> '')))) AS i FROM (SELECT doc_id, {CLEAN_SQL.format(DOMAIN_SQL.format(PLAIN))} AS c FROM documents))) SELECT doc_id, string_agg(coalesce(v, t), ' ' ORDER BY i) AS tokens FROM toks LEFT JOIN canon ON t = k GROUP BY doc_id")
+@query(f"WITH canon(k, v) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in D.LEGAL_CANON.items())}), toks AS (SELECT doc_id, i, {LEET_SQL.format('t')} AS t FROM (SELECT doc_id, unnest(list_filter(string_split(c, ' '), lambda x: x <> '')) AS t, unnest(range(1, 1 + len(list_filter(string_split(c, ' '), lambda x: x <> '')))) AS i FROM (SELECT doc_id, {CLEAN_SQL.format(ASCII_SQL.format(DOMAIN_SQL.format("text")))} AS c FROM documents))) SELECT doc_id, string_agg(coalesce(v, t), ' ' ORDER BY i) AS tokens FROM toks LEFT JOIN canon ON t = k GROUP BY doc_id")
 def norm_tokens(spark, sf):
-    out = table(spark, sf, "documents").select("doc_id", N.name_tokens(plain_text(), None, True).alias("t"))
+    out = table(spark, sf, "documents").select("doc_id", N.name_tokens(F.col("text")).alias("t"))
     return out.where(F.size("t") > 0).select("doc_id", F.array_join("t", " ").alias("tokens"))
 
 
@@ -299,10 +323,10 @@ def norm_house_number(spark, sf):
 @query(
     r"""SELECT doc_id, CASE WHEN regexp_extract(t, '\b([0-9]{6})\b', 1) <> '' THEN regexp_extract(t, '\b([0-9]{6})\b', 1)
 WHEN regexp_extract(t, '\b([0-9]{3})\s([0-9]{3})\b', 1) <> '' THEN regexp_extract(t, '\b([0-9]{3})\s([0-9]{3})\b', 1) || regexp_extract(t, '\b([0-9]{3})\s([0-9]{3})\b', 2)
-WHEN len(regexp_extract_all(t, '[0-9]+')) > 1 THEN coalesce(regexp_extract_all(t, '\b([0-9]{5})(?:-[0-9]{4})?\b', 1)[-1], '') ELSE '' END AS postal FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]+', ' ', 'g') AS t FROM documents)"""
+WHEN len(regexp_extract_all(t, '[0-9]+')) > 1 THEN coalesce(regexp_extract_all(t, '\b([0-9]{5})(?:-[0-9]{4})?\b', 1)[-1], '') ELSE '' END AS postal FROM (SELECT doc_id, text AS t FROM documents)"""
 )
 def norm_postal(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", N.postal_code(plain_text()).alias("postal"))
+    return table(spark, sf, "documents").select("doc_id", N.postal_code(F.col("text")).alias("postal"))
 
 
 @query("SELECT s_suppkey, array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: NOT regexp_full_match(t, '[0-9]+')), lambda t: t[1]), '') AS acronym FROM supplier")
@@ -313,7 +337,7 @@ def norm_acronym(spark, sf):
 
 @query(f"SELECT DISTINCT tok, {LEET_SQL.format('tok')} AS fixed FROM (SELECT unnest(string_split({CLEAN_SQL.format(PLAIN)}, ' ')) AS tok FROM documents) WHERE tok <> ''")
 def norm_leet(spark, sf):
-    toks = table(spark, sf, "documents").select(F.explode(N.tokens(N.basic_clean(plain_text(), True))).alias("tok")).distinct()
+    toks = table(spark, sf, "documents").select(F.explode(N.tokens(N.basic_clean(F.col("text")))).alias("tok")).distinct()
     return toks.select("tok", N.fix_leet(F.col("tok")).alias("fixed"))
 
 
@@ -377,12 +401,28 @@ def prepared_records(spark, sf):
 
 
 # ---------------------------------------------------------------- similarities
-NAMES = "names AS (SELECT DISTINCT p_name AS n FROM part), toks AS (SELECT n, unnest(list_distinct(string_split(n, ' '))) AS tok FROM names), np AS (SELECT DISTINCT a.n AS a, b.n AS b FROM toks a JOIN toks b USING (tok) WHERE a.n < b.n)"
+#: Pairs of part names on neighbouring lines of an order: as many at most as there are lines.
+NAMES = """line AS (SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON p_partkey = l_partkey),
+np AS (SELECT DISTINCT least(x.p_name, y.p_name) AS a, greatest(x.p_name, y.p_name) AS b FROM line x JOIN line y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber + 1 = y.l_linenumber WHERE x.p_name <> y.p_name),
+names AS (SELECT a AS n FROM np UNION SELECT b FROM np)"""
+#: x, y, r: the ratio of the string pairs in ``need``, by the bit-parallel longest common subsequence; for 60 characters at most.
+RATIO = """, sp AS (SELECT DISTINCT x, y FROM need),
+step(x, y, i, s) AS (
+  SELECT x, y, 0, (1::BIGINT << len(x)) - 1 FROM sp
+  UNION ALL SELECT x, y, i + 1, ((s + (s & m)) | (s - (s & m))) & ((1::BIGINT << len(x)) - 1)
+  FROM (SELECT x, y, i, s, coalesce(list_sum(list_transform(range(1, len(x) + 1), lambda p: CASE WHEN x[p] = y[i + 1] THEN 1::BIGINT << (p - 1) ELSE 0::BIGINT END)), 0)::BIGINT AS m FROM step WHERE i < len(y))),
+ratio AS (SELECT x, y, CASE WHEN x = y THEN 100.0 ELSE 200.0 * (len(x) - bit_count(s)) / (len(x) + len(y)) END AS r FROM step WHERE i = len(y))"""
+SORTED = "array_to_string(list_sort(string_split({0}, ' ')), ' ')"
+#: lo, hi: the shorter string first, with its windows over the longer one, ends included.
+PARTIAL = """lo_hi AS (SELECT x AS x0, y AS y0, CASE WHEN len(x) <= len(y) THEN x ELSE y END AS lo, CASE WHEN len(x) <= len(y) THEN y ELSE x END AS hi FROM wanted),
+windows AS (SELECT DISTINCT lo, hi, substr(hi, greatest(w, 1), len(lo) + least(w, 1) - 1) AS part FROM (SELECT DISTINCT lo, hi, unnest(range(2 - len(lo), len(hi) + 1)) AS w FROM lo_hi))"""
 
 
 def name_pairs(spark, sf):
-    toks = table(spark, sf, "part").select(F.col("p_name").alias("n")).distinct().select("n", F.explode(F.array_distinct(F.split("n", " "))).alias("tok"))
-    return toks.select("tok", F.col("n").alias("a")).join(toks.select("tok", F.col("n").alias("b")), "tok").where("a < b").select("a", "b").distinct()
+    line = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "l_linenumber", "p_name")
+    after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("p_name").alias("next"))
+    both = line.join(after, ["l_orderkey", "l_linenumber"]).where("p_name <> next")
+    return both.select(F.least("p_name", "next").alias("a"), F.greatest("p_name", "next").alias("b")).distinct()
 
 
 @query(f"WITH {NAMES} SELECT a, b, levenshtein(a, b) AS distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS similarity FROM np")
@@ -391,37 +431,95 @@ def sim_levenshtein(spark, sf):
     return name_pairs(spark, sf).select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"), F.round(S.levenshtein_similarity(a, b), 6).alias("similarity"))
 
 
+def kernel(spark, sf, kind: str) -> DataFrame:
+    return S.similarity(name_pairs(spark, sf), kind).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"WITH {NAMES} SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS similarity FROM np")
 def sim_jaro_winkler(spark, sf):
-    return name_pairs(spark, sf).select("a", "b", F.round(S.similarity("jw", F.col("a"), F.col("b")), 6).alias("similarity"))
+    return kernel(spark, sf, "jw")
+
+
+@query(f"WITH RECURSIVE {NAMES}, need AS (SELECT a AS x, b AS y FROM np){RATIO} SELECT x AS a, y AS b, round(r, 6) AS similarity FROM ratio")
+def sim_ratio_indel(spark, sf):
+    return kernel(spark, sf, "ratio")
+
+
+@query(f"WITH RECURSIVE {NAMES}, sorted AS (SELECT a, b, {SORTED.format('a')} AS x, {SORTED.format('b')} AS y FROM np), need AS (SELECT x, y FROM sorted){RATIO} SELECT a, b, round(r, 6) AS similarity FROM sorted JOIN ratio USING (x, y)")
+def sim_token_sort(spark, sf):
+    return kernel(spark, sf, "tsort")
+
+
+TSET = """sets AS (SELECT a, b, list_distinct(string_split(a, ' ')) AS ta, list_distinct(string_split(b, ' ')) AS tb FROM np),
+parts AS (SELECT a, b, list_sort(list_intersect(ta, tb)) AS t, list_sort(list_filter(ta, lambda w: NOT list_contains(tb, w))) AS l, list_sort(list_filter(tb, lambda w: NOT list_contains(ta, w))) AS r FROM sets),
+three AS (SELECT a, b, len(t) > 0 AS shared, len(t) > 0 AND (len(l) = 0 OR len(r) = 0) AS within, array_to_string(t, ' ') AS core, array_to_string(t || l, ' ') AS one, array_to_string(t || r, ' ') AS two FROM parts)"""
+TSET_NEED = "SELECT one AS x, two AS y FROM three UNION ALL SELECT core, one FROM three WHERE shared UNION ALL SELECT core, two FROM three WHERE shared"
+TSET_VALUE = """SELECT a, b, CASE WHEN within THEN 100.0 ELSE greatest(p.r, coalesce(q.r, 0), coalesce(w.r, 0)) END AS tset FROM three
+  JOIN ratio p ON p.x = one AND p.y = two LEFT JOIN ratio q ON shared AND q.x = core AND q.y = one LEFT JOIN ratio w ON shared AND w.x = core AND w.y = two"""
+
 
+@query(f"WITH RECURSIVE {NAMES}, {TSET}, need AS ({TSET_NEED}){RATIO} SELECT a, b, round(tset, 6) AS similarity FROM ({TSET_VALUE})")
+def sim_token_set(spark, sf):
+    return kernel(spark, sf, "tset")
 
-def _kernel_query(kind: str, name: str) -> None:
-    def run(spark, sf):
-        return name_pairs(spark, sf).select("a", "b", F.round(S.similarity(kind, F.col("a"), F.col("b")), 4).alias("similarity"))
 
-    run.__name__ = name
-    query()(run)
+PARTIAL_VALUE = "partial AS (SELECT x0, y0, max(CASE WHEN contains(hi, lo) THEN 100.0 ELSE r END) AS r FROM lo_hi JOIN windows USING (lo, hi) JOIN ratio ON x = lo AND y = part GROUP BY x0, y0)"
 
 
-for _kind, _name in (("ratio", "sim_ratio_indel"), ("partial", "sim_partial"), ("tsort", "sim_token_sort"), ("tset", "sim_token_set"), ("wratio", "sim_weighted"), ("char_bag", "sim_char_bag"), ("anagram", "sim_anagram"), ("sorted_ratio", "sim_sorted_tokens"), ("prefix", "sim_common_prefix")):
-    _kernel_query(_kind, _name)
+@query(f"WITH RECURSIVE {NAMES}, wanted AS (SELECT a AS x, b AS y FROM np), {PARTIAL}, need AS (SELECT lo AS x, part AS y FROM windows){RATIO}, {PARTIAL_VALUE} SELECT x0 AS a, y0 AS b, round(r, 6) AS similarity FROM partial")
+def sim_partial(spark, sf):
+    return kernel(spark, sf, "partial")
+
+
+@query(
+    f"""WITH RECURSIVE {NAMES}, {TSET}, own AS (SELECT a, b, {SORTED.format('a')} AS sa, {SORTED.format('b')} AS sb, shared, array_to_string(l, ' ') AS la, array_to_string(r, ' ') AS lb FROM three JOIN parts USING (a, b)),
+wanted AS (SELECT a AS x, b AS y FROM own UNION SELECT sa, sb FROM own UNION SELECT la, lb FROM own WHERE NOT shared), {PARTIAL},
+need AS ({TSET_NEED} UNION ALL SELECT a, b FROM own UNION ALL SELECT sa, sb FROM own UNION ALL SELECT lo, part FROM windows){RATIO}, {PARTIAL_VALUE}, tset AS ({TSET_VALUE})
+SELECT a, b, round(CASE WHEN long < 1.5 THEN greatest(w.r, 0.95 * greatest(s.r, tset)) ELSE greatest(w.r, scale * p.r, 0.95 * scale * greatest(CASE WHEN shared THEN 100.0 ELSE q.r END, ps.r)) END, 6) AS similarity
+FROM (SELECT *, greatest(len(a), len(b)) / least(len(a), len(b)) AS long, CASE WHEN greatest(len(a), len(b)) / least(len(a), len(b)) <= 8 THEN 0.9 ELSE 0.6 END AS scale FROM own) o
+JOIN ratio w ON w.x = a AND w.y = b JOIN ratio s ON s.x = sa AND s.y = sb JOIN tset USING (a, b) JOIN partial p ON p.x0 = a AND p.y0 = b JOIN partial ps ON ps.x0 = sa AND ps.y0 = sb LEFT JOIN partial q ON q.x0 = la AND q.y0 = lb"""
+)
+def sim_weighted(spark, sf):
+    return kernel(spark, sf, "wratio")
+
+
+LETTERS = "list_transform(string_split({0}, ' '), lambda t: array_to_string(list_sort(string_split(t, '')), ''))"
+
+
+@query(f"WITH RECURSIVE {NAMES}, words AS (SELECT a, b, i, x, unnest({LETTERS.format('b')}) AS y FROM (SELECT a, b, unnest(range(len(string_split(a, ' ')))) AS i, unnest({LETTERS.format('a')}) AS x FROM np)), need AS (SELECT x, y FROM words){RATIO} SELECT a, b, round(avg(best), 6) AS similarity FROM (SELECT a, b, i, max(r) AS best FROM words JOIN ratio USING (x, y) GROUP BY a, b, i) GROUP BY a, b")
+def sim_sorted_tokens(spark, sf):
+    return kernel(spark, sf, "sorted_ratio")
+
+
+@query(f"WITH {NAMES} SELECT a, b, round(CAST(list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: least(len(x) - len(replace(x, c, '')), len(y) - len(replace(y, c, ''))))) AS DOUBLE) / greatest(len(x), len(y)), 6) AS similarity FROM (SELECT a, b, replace(a, ' ', '') AS x, replace(b, ' ', '') AS y FROM np)")
+def sim_char_bag(spark, sf):
+    return name_pairs(spark, sf).select("a", "b", F.round(S.letters_in_common(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@query(f"WITH {NAMES} SELECT a, b, round(len(list_filter(x, lambda t: list_contains(y, t))) / len(x), 6) AS similarity FROM (SELECT a, b, {LETTERS.format('a')} AS x, {LETTERS.format('b')} AS y FROM np)")
+def sim_anagram(spark, sf):
+    return name_pairs(spark, sf).select("a", "b", F.round(S.anagram_share(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@query(f"WITH {NAMES} SELECT a, b, CAST(len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: left(a, i) = left(b, i))) AS DOUBLE) AS similarity FROM np")
+def sim_common_prefix(spark, sf):
+    return name_pairs(spark, sf).select("a", "b", S.common_prefix(F.col("a"), F.col("b")).alias("similarity"))
 
 
 @query(
     f"""WITH {NAMES}, w AS (SELECT n, ' ' || unnest(string_split(n, ' ')) || ' ' AS w FROM names),
-g AS (SELECT n, substr(w, i, k) AS g, count(*) AS c FROM (SELECT n, w, k, unnest(range(1, greatest(length(w) - k + 1, 1) + 1)) AS i FROM w, (VALUES (2), (3), (4)) v(k)) GROUP BY 1, 2),
+g AS (SELECT n, substr(w, i, k) AS g, count(*) AS c FROM (SELECT n, w, k, unnest(range(1, length(w) - k + 2)) AS i FROM w, (VALUES (2), (3), (4)) v(k)) GROUP BY 1, 2),
 norm AS (SELECT n, sqrt(sum(c * c)) AS norm FROM g GROUP BY n)
 SELECT a, b, round(coalesce((SELECT sum(x.c * y.c) FROM g x JOIN g y ON x.g = y.g WHERE x.n = np.a AND y.n = np.b), 0) / (x0.norm * y0.norm), 6) AS similarity
 FROM np JOIN norm x0 ON x0.n = np.a JOIN norm y0 ON y0.n = np.b"""
 )
 def sim_char_ngram_cosine(spark, sf):
-    return name_pairs(spark, sf).select("a", "b", F.round(S.similarity("char_cos", F.col("a"), F.col("b")), 6).alias("similarity"))
+    return kernel(spark, sf, "char_cos")
 
 
 @query(
     f"""WITH {BOTH}, df AS (SELECT tok, ln((SELECT count(*) FROM rec) / count(*)) AS idf FROM post GROUP BY tok),
-few AS (SELECT s1_id, o_id FROM cand WHERE r_rev = 1),
+few AS (SELECT s1_id, o_id FROM cand),
 side AS (SELECT f.s1_id, f.o_id, tok, 'a' AS s FROM few f JOIN post p ON p.id = f.s1_id UNION ALL SELECT f.s1_id, f.o_id, tok, 'b' FROM few f JOIN post p ON p.id = f.o_id),
 each AS (SELECT s1_id, o_id, tok, string_agg(s, '' ORDER BY s) AS s FROM side GROUP BY 1, 2, 3)
 SELECT s1_id, o_id, round(sum(CASE WHEN s = 'ab' THEN 1 ELSE 0 END) / count(*), 6) AS tok_jac,
@@ -432,7 +530,7 @@ FROM each JOIN df USING (tok) GROUP BY 1, 2"""
 )
 def sim_token_idf(spark, sf):
     rec = records(spark, sf).select("id", "name")
-    few = candidates(spark, sf).where("r_rev = 1").select("s1_id", "o_id")
+    few = candidates(spark, sf).select("s1_id", "o_id")
     both = few.join(rec.select(F.col("id").alias("s1_id"), F.col("name").alias("na")), "s1_id").join(rec.select(F.col("id").alias("o_id"), F.col("name").alias("nb")), "o_id")
     out = P.token_features(both, "na", "nb", P.token_idf(rec, "name"), None, "tok")
     digits = {"tok_only_s1": 5, "tok_only_c": 5}
@@ -463,39 +561,106 @@ def sim_house_number(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", *[F.round(f[c].cast("double"), 3).alias(c) for c in ("hn_equal", "hn_affix", "hn_lev", "hn_log_gap")])
 
 
-@query(r"SELECT doc_id, regexp_matches(text, '[^\x00-\x7F]') AS non_ascii, regexp_matches(text, '[^\x{0000}-\x{024F}]') AS other_script, length(text) AS n_chars FROM documents")
+@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '[^\x00-\x7F]') THEN 1.0 ELSE 0.0 END AS name_nonascii_b, 0.0 AS script_a, CASE WHEN regexp_matches(text, '[^\x{0000}-\x{024F}]') THEN 1.0 ELSE 0.0 END AS script_b, CASE WHEN regexp_matches(text, '[^\x{0000}-\x{024F}]') THEN 1.0 ELSE 0.0 END AS script_mismatch FROM documents")
 def sim_script_flags(spark, sf):
-    t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", t.rlike(r"[^\u0000-\u007F]").alias("non_ascii"), t.rlike(r"[^\u0000-ɏ]").alias("other_script"), F.length(t).cast("long").alias("n_chars"))
+    flags = P.script_features(F.col("source"), F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", *[c.cast("double").alias(k) for k, c in flags.items()])
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN a = b THEN 1.0 ELSE 0.0 END AS core_equal, CASE WHEN replace(a, ' ', '') = replace(b, ' ', '') THEN 1.0 ELSE 0.0 END AS ns_equal,
+CASE WHEN len(replace(a, ' ', '')) >= 4 AND len(replace(b, ' ', '')) >= 4 AND (contains(replace(a, ' ', ''), replace(b, ' ', '')) OR contains(replace(b, ' ', ''), replace(a, ' ', ''))) THEN 1.0 ELSE 0.0 END AS ns_contain,
+CASE WHEN string_split(a, ' ')[1] = string_split(b, ' ')[1] THEN 1.0 ELSE 0.0 END AS first_tok_eq, CAST(len(a) AS DOUBLE) AS core_len_a, CAST(len(b) AS DOUBLE) AS core_len_b, CAST(len(string_split(a, ' ')) - len(string_split(b, ' ')) AS DOUBLE) AS core_ntok_diff,
+round(least(len(replace(a, ' ', '')), len(replace(b, ' ', ''))) / greatest(len(replace(a, ' ', '')), len(replace(b, ' ', ''))), 4) AS ns_len_ratio, CASE WHEN left(a, 1) || left(string_split(a, ' ')[2], 1) = left(b, 1) || left(string_split(b, ' ')[2], 1) THEN 1.0 ELSE 0.0 END AS initials_eq,
+CASE WHEN left(a, 1) || left(string_split(a, ' ')[2], 1) = replace(b, ' ', '') OR left(b, 1) || left(string_split(b, ' ')[2], 1) = replace(a, ' ', '') THEN 1.0 ELSE 0.0 END AS acronym_match,
+CASE WHEN x = y THEN 1.0 ELSE 0.0 END AS pc_equal, round(len(y) / greatest(len(x), len(y)), 4) AS addr_len_ratio
+FROM (SELECT l_orderkey, l_linenumber, p_name AS a, lower(p_type) || ' ' || lower(p_brand) AS b, CAST(l_suppkey AS VARCHAR) AS x, CAST(l_linenumber AS VARCHAR) AS y FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+)
+def sim_plain(spark, sf):
+    """Equalities, lengths, initials, postcodes: the features that built-in functions express, on part names against types."""
+    line = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    a = {"c_name": F.col("p_name"), "pc": F.col("l_suppkey").cast("string"), "n_addr": F.col("l_suppkey").cast("string")}
+    b = {"c_name": F.concat_ws(" ", F.lower("p_type"), F.lower("p_brand")), "pc": F.col("l_linenumber").cast("string"), "n_addr": F.col("l_linenumber").cast("string")}
+    none = {"name": F.lit(""), "p_name": F.lit(""), "hn": F.lit(""), "nums": F.array().cast("array<string>")}
+    f = P.plain_features(lambda c: (a | none)[c], lambda c: (b | none)[c])
+    names = ["core_equal", "ns_equal", "ns_contain", "first_tok_eq", "core_len_a", "core_len_b", "core_ntok_diff", "ns_len_ratio", "initials_eq", "acronym_match", "pc_equal", "addr_len_ratio"]
+    return line.select("l_orderkey", "l_linenumber", *[F.round(f[c].cast("double"), 4).alias(c) for c in names])
+
+
+def lists(spark, sf):
+    """(S1, others, truth), prepared and written as Linkage does before it goes on: suppliers, and customers that mention the supplier whose number their key falls on; a fifth of the
+    customers mention nobody."""
+    s1 = G.clean(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").cast("string").alias("country")))
+    n = F.broadcast(s1.agg(F.greatest(F.count("*"), F.lit(1)).alias("n")))  # one row
+    seen = table(spark, sf, "customer").join(n).select("c_custkey", F.col("c_nationkey").cast("string").alias("nation"), F.when(G.chance("lost", F.col("c_custkey")) < 0.2, F.col("c_custkey") + 1_000_000_000).otherwise(F.col("c_custkey") % F.col("n")).alias("entity"))
+    known = seen.join(s1, "entity").select("entity", "country", "c_custkey", "name", "address")
+    lost = G.clean(seen.where("entity >= 1000000000").select("entity", F.col("nation").alias("country"), "c_custkey")).select(*known.columns)
+    noisy = G.noisy(known.unionByName(lost).withColumnRenamed("c_custkey", "copy"))
+    raw = lambda d, key: I.materialised(N.prepare_records(d.select(key.alias("entity_id"), F.col("name").alias("business_name"), F.col("address").alias("business_address"), "country")))
+    s1_id, o_id = F.concat(F.lit("S1-"), F.col("entity").cast("string")), F.concat(F.when(F.col("copy") % 3 == 0, "S3-").otherwise("S2-"), F.col("copy").cast("string"))
+    pairs_ = noisy.where("entity < 1000000000").select(s1_id.alias("s1_id"), o_id.alias("o_id"))
+    return raw(s1, s1_id), raw(noisy, o_id), I.materialised(pairs_)
+
+
+def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Token and vector candidates of both lists."""
+    side = lambda d: d.select(F.col("entity_id").alias("id"), "ckey", F.col("btok").alias("toks"))
+    named = lambda d: V.encode_distinct(d.select(F.col("entity_id").alias("id"), "ckey", F.col("c_name").alias("t")), "t").drop("t")
+    return I.materialised(B.merge_candidates(B.top_both_ways(B.cosine_pairs(side(a), side(b))), V.nearest(named(a), named(b))))
 
 
 @query()
 def pair_features(spark, sf):
-    """The 131 columns over supplier records against customer records of their nation."""
-    return _features(spark, sf)
+    """The 136 columns of all candidates of suppliers and the customers that mention them."""
+    a, b, _ = lists(spark, sf)
+    return P.pair_features(merged(a, b).withColumn("p1", F.col("score")), a, b, embeddings=True)
 
 
-def _prepared(spark, sf):
-    a = table(spark, sf, "supplier").select(F.concat(F.lit("S1-"), F.col("s_suppkey").cast("string")).alias("entity_id"), F.concat(F.col("s_name"), F.lit(" Limited")).alias("business_name"), F.concat(F.col("s_suppkey").cast("string"), F.lit(" Main Street, New York")).alias("business_address"), F.col("s_nationkey").cast("string").alias("country"))
-    b = table(spark, sf, "customer").select(F.concat(F.lit("S2-"), F.col("c_custkey").cast("string")).alias("entity_id"), F.concat(F.col("c_name"), F.lit(" Ltd")).alias("business_name"), F.concat(F.col("c_custkey").cast("string"), F.lit(" Main St, NY")).alias("business_address"), F.col("c_nationkey").cast("string").alias("country"))
-    return N.prepare_records(a), N.prepare_records(b)
+@query()
+def prefilter_columns(spark, sf):
+    a, b, _ = lists(spark, sf)
+    return P.cheap_features(merged(a, b), a, b)
 
 
-def _features(spark, sf):
-    a, b = _prepared(spark, sf)
-    side = lambda d: d.select(F.col("entity_id").alias("id"), "ckey", F.col("btok").alias("toks"))
-    cand = B.top_both_ways(B.cosine_pairs(side(a), side(b)))
-    full = cand.select("s1_id", "o_id", "score", F.coalesce("r_rev", F.lit(255)).alias("r_rev"), F.coalesce("r_fwd", F.lit(255)).alias("r_fwd"), F.lit(255).alias("r_emb"), F.lit(-1.0).alias("emb_score"), F.col("score").alias("p1"))
-    return P.pair_features(full, a, b)
+@query()
+def first_features(spark, sf):
+    """The first generation's own columns for its candidates."""
+    a, b, _ = lists(spark, sf)
+    side = lambda d: d.withColumnRenamed("entity_id", "id")
+    found = I.materialised(B.first_candidates(side(a), side(b)).select("s1_id", "o_id").distinct())
+    return P.first_features(found, a, b)
 
 
-@query()
-def prefilter_columns(spark, sf):
-    a, b = _prepared(spark, sf)
-    side = lambda d: d.select(F.col("entity_id").alias("id"), "ckey", F.col("btok").alias("toks"))
-    cand = B.top_both_ways(B.cosine_pairs(side(a), side(b)))
-    full = cand.select("s1_id", "o_id", "score", F.coalesce("r_rev", F.lit(255)).alias("r_rev"), F.coalesce("r_fwd", F.lit(255)).alias("r_fwd"), F.lit(255).alias("r_emb"), F.lit(-1.0).alias("emb_score"))
-    return P.cheap_features(full, a, b)
+TERMS = """rec AS (SELECT p_partkey AS id, p_size % 5 AS ckey, lower(p_name || ' ' || p_type || ' ' || p_brand) AS t FROM part),
+w AS (SELECT id, ckey, ' ' || unnest(string_split(t, ' ')) || ' ' AS w FROM rec),
+tf AS (SELECT id, ckey, g AS tok, count(*) AS tf FROM (SELECT id, ckey, substr(w, i, k) AS g FROM (SELECT id, ckey, w, k, unnest(range(1, length(w) - k + 2)) AS i FROM w, (VALUES (2), (3), (4)) v(k))) GROUP BY 1, 2, 3),
+df AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok HAVING count(*) >= 2),
+raw AS (SELECT id, ckey, tok, (1 + ln(tf)) * (1 + ln((1 + (SELECT count(*) FROM rec)) / (1 + df))) AS raw FROM tf JOIN df USING (tok)),
+weight AS (SELECT id, ckey, tok, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM raw)"""
+
+
+def part_texts(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5).alias("ckey"), F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("t"))
+
+
+@query(f"WITH {TERMS} SELECT id, ckey, tok, round(w, 6) AS w FROM weight")
+def first_tfidf(spark, sf):
+    return B.tfidf(part_texts(spark, sf), "t").select("id", "ckey", "tok", F.round("w", 6).alias("w"))
+
+
+TOP_TERMS = TERMS + """, sim AS (SELECT a.id AS s1_id, b.id AS o_id, round(sum(a.w * b.w), 6) AS score FROM weight a JOIN weight b ON a.ckey = b.ckey AND a.tok = b.tok WHERE a.id % 4 = 0 AND b.id % 4 <> 0 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {TOP_TERMS} SELECT * FROM (SELECT s1_id, o_id, score, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, o_id) AS rank FROM sim WHERE score >= 0.05) WHERE rank <= 10")
+def first_tfidf_topk(spark, sf):
+    rec = part_texts(spark, sf)
+    return B.tfidf_top(rec.where("id % 4 = 0"), rec.where("id % 4 <> 0"), "t", 10, digits=6)
+
+
+@query(f"WITH {TOP_TERMS} SELECT * FROM (SELECT s1_id, o_id, score, row_number() OVER (PARTITION BY o_id ORDER BY score DESC, s1_id) AS rank FROM sim WHERE score >= 0.2) WHERE rank <= 5")
+def first_tfidf_reverse(spark, sf):
+    rec = part_texts(spark, sf)
+    return B.tfidf_top(rec.where("id % 4 = 0"), rec.where("id % 4 <> 0"), "t", 5, 0.2, reverse=True, digits=6)
 
 
 # ---------------------------------------------------------------- windows
@@ -594,6 +759,16 @@ def metric_breakdown(spark, sf):
     return M.macro_f_half(M.entity_scores(own(spark, sf), decided(spark, sf), truth(spark, sf))).drop("macro", "n")
 
 
+@query(f"WITH {BEST}, predicted AS (SELECT s1_id, o_id FROM cand JOIN truth USING (s1_id, o_id)){SCORED} SELECT round(avg(f), 6) AS macro, count(*) AS n FROM scores")
+def metric_ceiling(spark, sf):
+    return M.ceiling(own(spark, sf), candidates(spark, sf), truth(spark, sf)).select("macro", "n")
+
+
+@query(f"WITH {BOTH}{TRUTH} SELECT k, CAST(sum(CASE WHEN r_fwd <= k THEN 1 ELSE 0 END) AS BIGINT) AS n_found, round(sum(CASE WHEN r_fwd <= k THEN 1 ELSE 0 END) / count(*), 6) AS recall FROM truth t LEFT JOIN cand c ON t.s1_id = c.s1_id AND t.o_id = c.o_id, (VALUES (1), (5), (10), (20)) g(k) GROUP BY k")
+def block_recall_at(spark, sf):
+    return B.recall_at(truth(spark, sf), candidates(spark, sf), [1, 5, 10, 20], "r_fwd")
+
+
 GRID_SQL = f"""WITH {BEST}, grid AS (SELECT round(0.1 * unnest(range(1, 10)), 1) AS t),
 n AS (SELECT s1_id, count(*) AS n_true FROM truth GROUP BY 1), lab AS (SELECT b.s1_id, p, CASE WHEN t.s1_id IS NULL THEN 0 ELSE 1 END AS y FROM best b LEFT JOIN truth t ON b.s1_id = t.s1_id AND b.o_id = t.o_id),
 c AS (SELECT s1_id, t, count(*) AS n_pred, sum(y) AS tp FROM lab JOIN grid ON p >= t GROUP BY 1, 2),
@@ -661,18 +836,27 @@ def stat_spearman(spark, sf):
 
 @query("SELECT l_returnflag, CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS F, CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS O FROM lineitem GROUP BY 1")
 def stat_crosstab(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).count().na.fill(0)
+    return T.crosstab(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"])
+
+
+@query("SELECT l_returnflag, round(avg(CASE WHEN l_linestatus = 'F' THEN l_quantity END), 3) AS F, round(avg(CASE WHEN l_linestatus = 'O' THEN l_quantity END), 3) AS O FROM lineitem GROUP BY 1")
+def stat_pivot_mean(spark, sf):
+    return T.pivot_mean(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity", ["F", "O"])
 
 
 @query("SELECT l_returnflag, round(avg(l_extendedprice), 4) AS mean, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3, quantile_cont(l_extendedprice, 0.99) AS p99, max(l_extendedprice) AS top FROM lineitem GROUP BY 1")
 def stat_describe(spark, sf):
-    q = lambda x: F.percentile("l_extendedprice", x)
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg("l_extendedprice"), 4).alias("mean"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), q(0.99).alias("p99"), F.max("l_extendedprice").alias("top"))
+    return T.describe(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice")
 
 
 @query("SELECT least(n, 10) AS bucket, count(*) AS n FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) GROUP BY 1")
 def stat_hist(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).groupBy(F.least("n", F.lit(10)).alias("bucket")).agg(F.count("*").alias("n"))
+    return T.group_sizes(table(spark, sf, "lineitem"), "l_orderkey", 10)
+
+
+@query("SELECT p_size AS bucket, count(*) AS n FROM part GROUP BY 1")
+def stat_value_counts(spark, sf):
+    return T.value_counts(table(spark, sf, "part"), "p_size")
 
 
 @query(f"WITH {REC} SELECT ckey, tok, n FROM (SELECT ckey, tok, count(*) AS n, row_number() OVER (PARTITION BY ckey ORDER BY count(*) DESC, tok) AS r FROM post GROUP BY 1, 2) WHERE r <= 30")
@@ -691,9 +875,22 @@ def stat_list_profile(spark, sf):
     return E.list_profile(table(spark, sf, "documents"), "doc_id", ["text", "source"])
 
 
-@query()
+@query(
+    r"""SELECT lang, count(*) AS n, round(avg(CASE WHEN regexp_matches(text || ' ' || source, '[^\x00-\x7F]') THEN 1.0 ELSE 0.0 END), 6) AS non_ascii, round(avg(CASE WHEN regexp_matches(text, '[0-9]') THEN 1.0 ELSE 0.0 END), 6) AS digits,
+round(avg(CASE WHEN contains(text, '&') THEN 1.0 ELSE 0.0 END), 6) AS ampersand, round(avg(CASE WHEN text = upper(text) AND text <> lower(text) THEN 1.0 ELSE 0.0 END), 6) AS capitals,
+0.0 AS postcode, round(avg(CASE WHEN regexp_matches(source, '(?i)\b(?:near|nr|opp|opposite|behind|beside)\b') THEN 1.0 ELSE 0.0 END), 6) AS landmark FROM documents GROUP BY 1"""
+)
 def stat_character_profile(spark, sf):
-    return E.character_profile(table(spark, sf, "documents"), "lang", "text")
+    return E.character_profile(table(spark, sf, "documents"), "lang", "text", "source").drop("marker")
+
+
+@query("WITH p AS (SELECT *, (row_number() OVER () - 1) / (SELECT count(*) FROM orders) AS pos FROM orders), t AS (SELECT a.pos AS x, b.pos AS y FROM p a JOIN p b ON a.o_custkey = b.o_orderkey), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b FROM t) SELECT round(corr(a, b), 6) AS rho FROM r")
+def stat_row_order(spark, sf):
+    """Orders whose customer key is another order's key stand for matching rows."""
+    orders = table(spark, sf, "orders")
+    places = E.file_positions(orders, "o_orderkey")
+    matches = orders.select(F.col("o_orderkey").alias("s1_id"), F.col("o_custkey").alias("o_id"))
+    return E.row_order_rho(matches, places.withColumnRenamed("o_orderkey", "s1_id"), places.withColumnRenamed("o_orderkey", "o_id")).select(F.round("rho", 6).alias("rho"))
 
 
 ERR = """, given AS (SELECT o_id, s1_id AS got FROM predicted),
@@ -704,10 +901,20 @@ _COUNT = ", ".join(f"CAST(sum(CASE WHEN e = '{e}' THEN 1 ELSE 0 END) AS BIGINT)
 _SUM = ", ".join(f"CAST(sum(coalesce({e}, 0)) AS BIGINT) AS {e}, round(sum(CASE WHEN errors > 0 THEN {e} / errors * (1 - f) ELSE 0 END), 6) AS {e}_loss" for e in E.ERRORS)
 
 
-@query(f"WITH {BEST}, single AS (SELECT o_id, min(s1_id) AS s1_id FROM truth GROUP BY 1)".replace("truth AS (SELECT a.id AS s1_id, b.id AS o_id FROM rec a", "truth AS (SELECT min(a.id) AS s1_id, b.id AS o_id FROM rec a").replace("AND a.is_s1 AND NOT b.is_s1),\nbest", "AND a.is_s1 AND NOT b.is_s1 GROUP BY b.id),\nbest") + f"{_predicted('p >= 0.5')}{SCORED}{ERR}, k AS (SELECT s1_id, count(*) AS errors, {_COUNT} FROM (SELECT * FROM fn UNION ALL SELECT * FROM fp) GROUP BY 1) SELECT CASE WHEN grouping(ckey) = 1 THEN 'ALL' ELSE ckey END AS country, count(*) AS n_s1, round(avg(f), 6) AS macro, {_SUM} FROM scores s LEFT JOIN k ON s.s1_id = k.s1_id GROUP BY ROLLUP (ckey)")
+@query(f"WITH {BEST}{_predicted('p >= 0.5')}{SCORED}{ERR}, k AS (SELECT s1_id, count(*) AS errors, {_COUNT} FROM (SELECT * FROM fn UNION ALL SELECT * FROM fp) GROUP BY 1) SELECT CASE WHEN grouping(ckey) = 1 THEN 'ALL' ELSE ckey END AS country, count(*) AS n_s1, round(avg(f), 6) AS macro, {_SUM} FROM scores s LEFT JOIN k ON s.s1_id = k.s1_id GROUP BY ROLLUP (ckey)")
 def errors_attribution(spark, sf):
-    single = truth(spark, sf).groupBy("o_id").agg(F.min("s1_id").alias("s1_id"))
-    return E.attribute_errors(own(spark, sf), candidates(spark, sf), decided(spark, sf), single)
+    return E.attribute_errors(own(spark, sf), candidates(spark, sf), decided(spark, sf), truth(spark, sf))
+
+
+@query(
+    f"""WITH {BEST}{_predicted('p >= 0.5')}, given AS (SELECT o_id, min(s1_id) AS got FROM predicted GROUP BY 1), first AS (SELECT o_id, arg_max(s1_id, (score, s1_id)) AS first FROM cand GROUP BY 1),
+fn AS (SELECT CASE WHEN c.s1_id IS NULL THEN 'fn_blocking' WHEN got IS NOT NULL THEN 'fn_competition' ELSE 'fn_threshold' END AS error, t.s1_id, t.o_id, coalesce(got, first) AS other_s1 FROM truth t LEFT JOIN cand c ON c.s1_id = t.s1_id AND c.o_id = t.o_id LEFT JOIN given g ON g.o_id = t.o_id LEFT JOIN first f ON f.o_id = t.o_id WHERE got IS NULL OR got <> t.s1_id),
+fp AS (SELECT CASE WHEN w.s1_id IS NULL THEN 'fp_no_entity' ELSE 'fp_wrong_s1' END AS error, p.s1_id, p.o_id, w.s1_id AS other_s1 FROM predicted p LEFT JOIN truth w ON w.o_id = p.o_id WHERE w.s1_id IS NULL OR w.s1_id <> p.s1_id)
+SELECT error, e.s1_id, e.o_id, a.score AS p_this, other_s1, b.score AS p_other FROM (SELECT * FROM fn UNION ALL SELECT * FROM fp) e LEFT JOIN cand a ON a.s1_id = e.s1_id AND a.o_id = e.o_id LEFT JOIN cand b ON b.s1_id = e.other_s1 AND b.o_id = e.o_id"""
+)
+def errors_examples(spark, sf):
+    """All of them: the report's limit is larger than the table."""
+    return E.error_examples(decided(spark, sf), truth(spark, sf), scored_pairs(spark, sf), candidates(spark, sf), 1 << 30)
 
 
 @query(
@@ -731,22 +938,34 @@ def random_negatives(spark, sf):
     return E.random_negatives(rec.where("is_s1"), rec.where("NOT is_s1"), truth(spark, sf))
 
 
-HASH = "CAST('0x' || substr(md5(CAST({0} AS VARCHAR)), 1, 8) AS BIGINT)"
-
+DRAWN = "CAST('0x' || substr(md5('{0}' || CAST({1} AS VARCHAR)), 1, 8) AS BIGINT)"
 
-def engine_neutral_hash(col: str):
-    return F.conv(F.substring(F.md5(F.col(col).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
 
-
-@query(f"SELECT c_custkey FROM customer WHERE {HASH.format('c_custkey')} % 100000 >= 19000")
+@query(f"SELECT c_custkey FROM customer WHERE {DRAWN.format('drop:', 'c_custkey')} % 100000 >= 19000")
 def sample_hash(spark, sf):
-    return table(spark, sf, "customer").where(engine_neutral_hash("c_custkey") % 100_000 >= 19_000).select("c_custkey")
+    return I.keep_fraction(table(spark, sf, "customer"), "c_custkey", 0.19).select("c_custkey")
 
 
-@query(f"SELECT c_custkey, {HASH.format('c_custkey')} % 3 AS fold, {HASH.format('c_custkey')} // 3 % 10000 / 10000.0 AS u FROM customer")
+@query(f"SELECT c_custkey, CAST({DRAWN.format('fold:', 'c_custkey')} % 3 AS INTEGER) AS fold FROM customer")
 def folds(spark, sf):
-    h = engine_neutral_hash("c_custkey")
-    return table(spark, sf, "customer").select("c_custkey", (h % 3).alias("fold"), (F.floor(h / 3) % 10_000 / 10_000.0).cast("double").alias("u"))
+    from linkloom.operators.learn import fold_of
+
+    return table(spark, sf, "customer").select("c_custkey", fold_of("c_custkey", 3).alias("fold"))
+
+
+@query(f"WITH k AS (SELECT s_suppkey FROM supplier WHERE {DRAWN.format('sample:', 's_suppkey')} % 100000 >= 75000), p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT 'S1' AS kind, s_suppkey AS id FROM k UNION ALL SELECT 'other', p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM p JOIN k ON l_suppkey = s_suppkey) OR (p_partkey NOT IN (SELECT l_partkey FROM p) AND {DRAWN.format('sample:', 'p_partkey')} % 100000 >= 75000)")
+def sample_structural(spark, sf):
+    """A quarter of the suppliers with all their parts, and of the parts without a supplier."""
+    s1 = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("s1_id"))
+    others = table(spark, sf, "part").select(F.col("p_partkey").alias("o_id"))
+    sold = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s1_id"), F.col("l_partkey").alias("o_id")).distinct()
+    some, rest = I.structural_sample(s1, others, sold, 0.25)
+    return some.select(F.lit("S1").alias("kind"), F.col("s1_id").alias("id")).unionByName(rest.select(F.lit("other").alias("kind"), F.col("o_id").alias("id")))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem) WHERE r = 1")
+def keep_first(spark, sf):
+    return I.keep_first(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query(
@@ -763,24 +982,47 @@ def synonym_changes(spark, sf):
 @query()
 def synonym_mine(spark, sf):
     rec = records(spark, sf).select("id", "toks", "text")
-    m = decided(spark, sf, whole=True).join(rec.select(F.col("id").alias("s1_id"), F.col("toks").alias("ta")), "s1_id").join(rec.select(F.col("id").alias("o_id"), F.col("toks").alias("tb"), F.col("text").alias("raw_b")), "o_id")
+    m = decided(spark, sf).join(rec.select(F.col("id").alias("s1_id"), F.col("toks").alias("ta")), "s1_id").join(rec.select(F.col("id").alias("o_id"), F.col("toks").alias("tb"), F.col("text").alias("raw_b")), "o_id")
     return Y.mine(m, min_count=1, min_ratio=0.3)
 
 
+def ordered(spark, sf):
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def join_semi(spark, sf):
-    return table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_custkey")
+    return I.filtered_by_ids(table(spark, sf, "orders"), ordered(spark, sf), "o_orderkey").select("o_orderkey", "o_custkey")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def join_anti(spark, sf):
-    return table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey", "o_custkey")
+    return I.without_ids(table(spark, sf, "orders"), ordered(spark, sf), "o_orderkey").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT p_partkey, round(ln(1 + coalesce(n, 0)), 6) AS freq FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
+@query("SELECT p_partkey, round(CAST(CAST(ln(1 + coalesce(n, 0)) AS FLOAT) AS DOUBLE), 4) AS freq FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
 def join_frequency(spark, sf):
-    n = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
-    return table(spark, sf, "part").join(n, "p_partkey", "left").select("p_partkey", F.round(F.log1p(F.coalesce("n", F.lit(0))), 6).alias("freq"))
+    out = P.name_frequency(table(spark, sf, "part"), table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "p_partkey"), ["p_partkey"], "freq")
+    return out.select("p_partkey", F.round(F.col("freq").cast("double"), 4).alias("freq"))
+
+
+@query("SELECT p_partkey, round(CAST(CAST(ln(1 + n) AS FLOAT) AS DOUBLE), 4) AS freq FROM part JOIN (SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY 1, 2) USING (p_brand, p_name)")
+def join_frequency_block(spark, sf):
+    parts = table(spark, sf, "part")
+    return P.name_frequency(parts, parts, ["p_brand", "p_name"], "freq").select("p_partkey", F.round(F.col("freq").cast("double"), 4).alias("freq"))
+
+
+@query("SELECT c_custkey AS source1_entity_id, CAST(o_orderkey AS VARCHAR) AS o_id FROM customer JOIN orders ON o_custkey = c_custkey")
+def truth_explode(spark, sf):
+    written = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("source1_entity_id")).agg(F.array_join(F.collect_list(F.col("o_orderkey").cast("string")), ", ").alias("matched_entity_ids"))
+    present = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"))
+    return I.truth_pairs(written, present).select(F.col("s1_id").alias("source1_entity_id"), "o_id")
+
+
+@query("SELECT c_custkey AS s1_id, count(o_orderkey) AS n_true FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def truth_sizes(spark, sf):
+    written = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("source1_entity_id")).agg(F.array_join(F.collect_list(F.col("o_orderkey").cast("string")), ",").alias("matched_entity_ids"))
+    return I.truth_sizes(written, table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id")))
 
 
 @query(f"WITH {BEST} SELECT o.s1_id, coalesce(string_agg(CAST(b.o_id AS VARCHAR), ',' ORDER BY b.o_id), '') AS matched FROM own o LEFT JOIN best b ON b.s1_id = o.s1_id AND b.p >= 0.5 GROUP BY 1")
@@ -790,31 +1032,30 @@ def output_lists(spark, sf):
     return id_lists(own(spark, sf), decided(spark, sf), "matched")
 
 
+def _labelled(df: DataFrame, pairs_: DataFrame) -> DataFrame:
+    return df.join(pairs_.withColumn("label", F.lit(1)), ["s1_id", "o_id"], "left").na.fill(0, ["label"])
+
+
 @query()
 def prefilter_gbt(spark, sf):
-    from linkloom.operators.learn import boosted, filled, fold_of, predicted
+    from linkloom.operators.learn import out_of_fold
 
-    data, names = _labelled(spark, sf)
-    data = data.withColumn("half", fold_of("s1_id", 2, "prefilter:"))
-    parts = [predicted(boosted(names, rounds=5, depth=3).fit(data.where(f"half <> {h}")), data.where(f"half = {h}"), "p1") for h in (0, 1)]
-    return parts[0].unionByName(parts[1]).select("s1_id", "o_id", "label", F.round("p1", 6).alias("p1"))
+    a, b, pairs_ = lists(spark, sf)
+    data = I.materialised(_labelled(P.cheap_features(merged(a, b), a, b), pairs_))
+    return out_of_fold(data, P.CHEAP, "p1")[0].select("s1_id", "o_id", "label", F.round("p1", 6).alias("p1"))
 
 
 @query()
 def stack_oof(spark, sf):
     from linkloom.operators.learn import stacked
 
-    data, names = _labelled(spark, sf)
-    out, _ = stacked(data, names, k=2, rounds=3)
+    a, b, pairs_ = lists(spark, sf)
+    cand = merged(a, b).withColumn("p1", F.col("score"))
+    data = I.materialised(_labelled(P.pair_features(cand, a, b, embeddings=True), pairs_))
+    out, _ = stacked(data, P.feature_names(True), saved=lambda name, df: I.materialised(df))
     return out.select("s1_id", "o_id", "label", F.round("p", 6).alias("p"))
 
 
-def _labelled(spark, sf):
-    cand = W.context_columns(candidates(spark, sf, whole=True).na.fill(255, ["r_rev", "r_fwd"]), ["score"])
-    names = [c for c in cand.columns if c not in ("s1_id", "o_id")]
-    return cand.join(truth(spark, sf).withColumn("label", F.lit(1)), ["s1_id", "o_id"], "left").na.fill(0, ["label"]), names
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,12 +52,14 @@ def id_lists(s1: DataFrame, pairs: DataFrame, out: str) -> DataFrame:
 
 
 def write_tsv(df: DataFrame, path: str, files: int | None = None) -> None:
-    """No quoting or escaping. ``files=1`` gives one file for lists that fit a task."""
-    rows = df.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value"))
-    head = df.sparkSession.createDataFrame([("\t".join(df.columns),)], "value string")
-    out = head.withColumn("o", F.lit(0)).unionByName(rows.withColumn("o", F.lit(1)))
-    out = out.coalesce(1).sortWithinPartitions("o").select("value") if files == 1 else rows
-    out.write.mode("overwrite").text(path)
+    """Tab-separated, a header in every file, no quoting or escaping. A field that holds a tab or a line end can't be told
+    from two fields or rows, so it stops the job. ``files``: into that many files."""
+    fields = {c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns}
+    bad = lambda v: F.raise_error(F.concat(F.lit("a field holds a tab, a line end or a null character: "), F.substring(v, 1, 80)))
+    rows = df.select([F.when(v.rlike("[\\t\\r\\n\\x00]"), bad(v).cast("string")).otherwise(v).alias(c) for c, v in fields.items()])
+    rows = rows.coalesce(files) if files else rows
+    quiet = {"sep": "\t", "header": True, "quote": "\0", "escape": "\0", "emptyValue": "", "nullValue": "", "escapeQuotes": False, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.mode("overwrite").options(**quiet).csv(path)
 
 
 def check_lists(lists: DataFrame, s1: DataFrame, others: DataFrame, col: str, candidates: DataFrame | None = None) -> DataFrame:
@@ -76,9 +80,25 @@ def check_lists(lists: DataFrame, s1: DataFrame, others: DataFrame, col: str, ca
     return out.groupBy("problem").agg(F.count("*").alias("n"))
 
 
+def drawn(seed: str, key: str) -> Column:
+    """A number below 2^32 that seed and key fix, the same in any engine: the first 32 bits of an md5."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def keep_fraction(df: DataFrame, key: str, drop: float, seed: str = "drop:") -> DataFrame:
     """Drops about the share ``drop`` of the ids, by a hash, the same on every run."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(100_000)) >= drop * 100_000)
+    return df.where(drawn(seed, key) % 100_000 >= drop * 100_000)
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder (spark.checkpoint.dir) and read from there. A local session without one
+    gets a temporary folder; on a cluster that is an error."""
+    context = df.sparkSession.sparkContext
+    if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="linkloom-"))
+    return df.checkpoint()
 
 
 def structural_sample(s1: DataFrame, others: DataFrame, pairs: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
@@ -87,3 +107,35 @@ def structural_sample(s1: DataFrame, others: DataFrame, pairs: DataFrame, share:
     mine = others.join(pairs.join(some, "s1_id", "left_semi"), "o_id", "left_semi")
     free = keep_fraction(others.join(pairs, "o_id", "left_anti"), "o_id", 1 - share, "sample:")
     return some, mine.unionByName(free)
+
+
+def without_ids(df: DataFrame, ids: DataFrame, key: str = "entity_id") -> DataFrame:
+    """The rows whose id isn't among ``ids``."""
+    return df.join(ids.select(key), key, "left_anti")
+
+
+def keep_first(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row a key: the first in ``order``."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return df.withColumn("__place", place).where("__place = 1").drop("__place")
+
+
+#: The files of each split.
+EXPECTED = {split: [f"{split}_source{k}.tsv" for k in (1, 2, 3)] + (["train_ground_truth.tsv"] if split == "train" else []) for split in ("train", "test")}
+
+
+def check_data(spark: SparkSession, folder: str) -> list[tuple[str, bool, int]]:
+    """(file, present, rows) of the files that the splits need."""
+    out = []
+    for split, names in EXPECTED.items():
+        for name in names:
+            path = f"{folder}/{split}/{name}"
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+            out.append((f"{split}/{name}", there, count_lines(spark, path) if there else 0))
+    return out
+
+
+def count_lines(spark: SparkSession, path: str) -> int:
+    """Lines without the header."""
+    return max(0, spark.read.text(path).count() - 1)

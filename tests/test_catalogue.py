@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["block_token_df", "block_pairs_cosine", "block_union_merge", "embed_topk", "norm_basic_clean", "norm_numbers", "norm_postal", "sim_jaro_winkler", "win_best_other", "win_prefix_expected_f", "metric_macro_f05", "threshold_grid", "stat_spearman", "output_lists", "join_anti"]
+FAST = ["block_token_df", "block_pairs_cosine", "block_union_merge", "embed_topk", "norm_basic_clean", "norm_numbers", "norm_postal", "sim_jaro_winkler", "win_best_other", "win_prefix_expected_f", "metric_macro_f05", "threshold_grid", "stat_spearman", "output_lists", "join_anti", "sim_weighted", "sim_partial", "first_tfidf_reverse", "norm_transliterate", "errors_examples", "stat_row_order", "folds", "truth_sizes"]
 
 
 @pytest.fixture(scope="module")
@@ -60,7 +60,7 @@ def candidates_by_steps(rows, k_rev=10, k_fwd=20, cap=3000, share=0.004):
 
 @pytest.fixture(scope="module")
 def copies(spark, tmp_path_factory):
-    """Sixty copies of one text (over CAP), each with a word of its own or none, among other texts."""
+    """Sixty copies of one text, each with a word of its own or none, among other texts."""
     r = random.Random(4)
     words = [f"w{i}" for i in range(40)]
     rows = [(i, "Alpha beta, gamma!" + (f" own{i // 5}" if i % 3 else ""), "en") for i in range(60)]
@@ -75,7 +75,7 @@ def test_flagship_has_the_production_window(spark, copies):
 
     path, rows = copies
     want = candidates_by_steps(rows)
-    got = {(x["s1_id"], x["o_id"]): x["score"] for x in catalogue.candidates(spark, path, whole=True).collect()}
+    got = {(x["s1_id"], x["o_id"]): x["score"] for x in catalogue.candidates(spark, path).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in got)
     best = {}
     for (a, b), p in sorted(want.items()):
@@ -84,11 +84,12 @@ def test_flagship_has_the_production_window(spark, copies):
     assert {x["o_id"] for x in catalogue.flagship(spark, path).collect()} >= {i for i in range(60) if i % 4}
 
 
-def test_prefilter_columns_over_all_candidates(spark, tmp_path):
+def test_lists_and_candidates_of_the_feature_queries(spark):
     from linkloom.plans import catalogue
 
-    spark.createDataFrame([(i, f"Bright {'Lamp Door Roof'.split()[i % 3]} Works", 1) for i in range(15)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
-    spark.createDataFrame([(i, f"Bright {'Lamp Door Roof Wall'.split()[i % 4]} {'Lamp Door Roof'.split()[i % 3]} Works", 1) for i in range(60)], "c_custkey long, c_name string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
-    got = catalogue.prefilter_columns(spark, str(tmp_path)).select("r_rev", "r_fwd", "s1_n").collect()
-    assert max(x["r_rev"] for x in got if x["r_rev"] < 255) == 10 and max(x["r_fwd"] for x in got if x["r_fwd"] < 255) == 20
-    assert max(x["s1_n"] for x in got) >= 20
+    a, b, pairs = catalogue.lists(spark, DATA)
+    again = catalogue.lists(spark, DATA)
+    assert sorted(map(str, b.collect())) == sorted(map(str, again[1].collect()))
+    assert a.count() == 10 and b.count() == 150 and 0 < pairs.count() < 150
+    cand = catalogue.merged(a, b)
+    assert cand.join(pairs, ["s1_id", "o_id"]).count() >= 0.95 * pairs.count()

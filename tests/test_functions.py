@@ -55,8 +55,47 @@ def test_kernels():
     assert S.partial_ratio("bcd", "abcde") == 100.0 and S.token_sort_ratio("b a", "a b") == 100.0
     assert S.token_set_ratio("a b c", "b a") == 100.0 and S.token_set_ratio("", "a") == 0.0
     assert S.jaro_winkler("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)
-    assert S.char_bag("computer", "cmogpurre") > 0.6 and S.tok_anagram("abc de", "cba fg") == 0.5
-    assert S.char_cosine("abc", "abc") == pytest.approx(1) and S.common_prefix("abcd", "abxx") == 2
+    assert S.char_cosine("abc", "abc") == pytest.approx(1) and S.sorted_letters_ratio("abc de", "cba ed") == 100.0
+
+
+def test_native_similarities_by_brute_force(spark):
+    import random
+    from collections import Counter
+
+    r = random.Random(2)
+    rows = [tuple("".join(r.choices("aab c", k=r.randrange(9))).strip() for _ in range(2)) for _ in range(300)] + [("computer", "cmogpurre"), ("", ""), ("x", "")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", S.letters_in_common(F.col("a"), F.col("b")).alias("bag"), S.anagram_share(F.col("a"), F.col("b")).alias("anagram"), S.common_prefix(F.col("a"), F.col("b")).alias("prefix"))
+    for x in got.collect():
+        a, b = x["a"], x["b"]
+        la, lb = Counter(a.replace(" ", "")), Counter(b.replace(" ", ""))
+        assert x["bag"] == pytest.approx((la & lb).total() / max(la.total(), lb.total()) if la and lb else 0.0)
+        wa, wb = ([sorted(w) for w in t.split()] for t in (a, b))
+        assert x["anagram"] == pytest.approx(sum(w in wb for w in wa) / len(wa) if wa and wb else 0.0)
+        assert x["prefix"] == max(n for n in range(min(len(a), len(b)) + 1) if a[:n] == b[:n])
+        best = lambda w: max(S.indel_ratio("".join(w), "".join(o)) for o in wb)
+        assert S.sorted_letters_ratio(a, b) == pytest.approx(sum(map(best, wa)) / len(wa) if wa and wb else 0.0)
+
+
+def test_kernels_in_one_pass(spark):
+    df = spark.createDataFrame([("a b", None, ["x"]), ("a b", "b a", ["x", "y"]), (None, None, ["z"])], "a string, b string, v array<string>")
+    got = S.with_kernels(df, {"r": ("ratio", "a", "b"), "t": ("tsort", "a", "b"), "d": ("variants", "v", "v")}).collect()
+    assert [(x["r"], x["t"], x["d"]) for x in got] == [(0.0, 0.0, None), (pytest.approx(100 / 3), 100.0, 100.0), (100.0, 100.0, None)]
+
+
+@pytest.mark.parametrize(("raw", "plain"), [("Привет Щука", "Privet Shchuka"), ("Αθήνα", "Athena"), ("محمد", "mhmd"), ("さくら", "sakura"), ("서울", "seoul"), ("Łódź naïve", "Lodz naive"), ("१२ ١٢", "12 12"), ("ﬁ ②", "fi 2"), ("გამარ", "gamar")])
+def test_transliteration(raw, plain):
+    assert N.to_ascii(raw) == plain
+
+
+def test_ideographs_stay_apart():
+    words = {N.to_ascii(c).strip() for c in "中国东京大阪"}
+    assert len(words) == 6 and all(w.isascii() and w.isalpha() for w in words)
+
+
+def test_over_distinct(spark):
+    df = spark.createDataFrame([(1, "A & B"), (2, "A & B"), (3, None), (4, "")], "i int, t string")
+    got = N.over_distinct(df, "t", lambda c: {"clean": N.basic_clean(c)})
+    assert sorted((x["i"], x["clean"]) for x in got.collect()) == [(1, "a and b"), (2, "a and b"), (3, ""), (4, "")]
 
 
 def test_lcs_by_brute_force():

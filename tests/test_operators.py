@@ -75,3 +75,121 @@ def test_synonyms(spark):
     assert Y.as_dict(got).get("richmond") is None
     chain = spark.createDataFrame([("a", "b"), ("b", "c")], "b string, a string")
     assert {(r["b"], r["a"]) for r in Y.resolve_chains(chain).collect()} == {("a", "c"), ("b", "c")}
+
+
+def frames(spark, seed=1):
+    import random
+
+    r = random.Random(seed)
+    s1 = spark.createDataFrame([(f"a{i}", "c%d" % (i % 2)) for i in range(30)], "s1_id string, ckey string")
+    pairs = {(f"a{r.randrange(30)}", f"o{i % 60}"): round(r.random(), 2) for i in range(150)}
+    truth = [(f"a{r.randrange(30)}", f"o{i}") for i in range(40)]
+    return s1, spark.createDataFrame([(*k, p) for k, p in pairs.items()], "s1_id string, o_id string, p double"), spark.createDataFrame(truth, "s1_id string, o_id string")
+
+
+def test_rule_scores_equal_each_rule_applied(spark):
+    s1, pairs, truth = frames(spark)
+    rules = R.rule_grid(0.6)[::19] + [{"rule": "two_thr", "t_first": 0.8, "t_rest": 0.5}]
+    for got, rule in zip(R.rule_scores(s1, pairs, truth, rules), rules):
+        assert got == pytest.approx(M.entity_scores(s1, R.apply_rule(pairs, rule), truth).agg(F.avg("f")).first()[0], abs=1e-9), rule
+    for x in R.threshold_scores(s1, pairs, truth, [0.2, 0.9], "ckey").collect():
+        mine = s1.where(F.col("ckey") == x["ckey"])
+        kept = R.apply_rule(pairs, {"rule": "threshold", "t": x["t"]}).join(mine, "s1_id", "left_semi")
+        assert x["macro"] == pytest.approx(M.entity_scores(mine, kept, truth.join(mine, "s1_id", "left_semi")).agg(F.avg("f")).first()[0], abs=1e-9)
+
+
+def test_sampled_rule_comes_near_the_closed_form(spark):
+    _, pairs, _ = frames(spark, 3)
+    best = R.ranked_best(pairs)
+    closed = {(x["s1_id"], x["o_id"]) for x in R.decide_expected(best).collect()}
+    drawn = {(x["s1_id"], x["o_id"]) for x in R.decide_sampled(best.drop("k"), 400).collect()}
+    assert len(closed & drawn) >= 0.8 * len(closed | drawn)
+    assert R.tune_first(*frames(spark, 3), samples=5)["score"] > 0
+
+
+def test_running_sums_and_ranks_in_ranges(spark):
+    rows = [(i * 7 % 101, i % 5 + 1) for i in range(101)]
+    df = spark.createDataFrame(rows, "v int, n int")
+    for down in (False, True):
+        got = {x["v"]: x["s"] for x in W.running_sums(df, "v", {"s": "n"}, descending=down, ranges=8).collect()}
+        assert got == {v: sum(n for w, n in rows if (w >= v if down else w <= v)) for v, _ in rows}
+    ranked = W.ranked_in(spark.range(300).select("id", (F.col("id") % 3).alias("g")), "g", F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20), ["id"], "r", 16)
+    assert sorted((x["g"], x["r"]) for x in ranked.collect()) == [(g, i) for g in range(3) for i in range(1, 101)]
+
+
+def test_chunks_change_nothing(spark):
+    recs = spark.createDataFrame([(i, "x", [f"t{i % 7}", f"u{i % 3}", "v"]) for i in range(60)], "id int, ckey string, toks array<string>")
+    key = lambda df: sorted(map(str, df.collect()))
+    a, b = recs.where("id % 4 = 0"), recs.where("id % 4 <> 0")
+    assert key(B.cosine_pairs(a, b, 6, chunk=3)) == key(B.cosine_pairs(a, b, 6))
+
+
+def test_index_finds_most_neighbours(spark):
+    rows = [(i, str(i % 2), V.encode_text(f"{'red blue green amber'.split()[i % 4]} name {i * 37 % 101} word{i % 13}").tolist()) for i in range(400)]
+    v = spark.createDataFrame(rows, "id long, ckey string, vector array<double>")
+    a, b = v.where("id % 4 = 0"), v.where("id % 4 <> 0")
+    found = V.neighbour_recall(V.nearest_indexed(a, b, 5, cells=16, probes=6), V.nearest(a, b, 5)).first()
+    assert found["n"] == 300 * 5 and found["recall"] >= 0.9
+
+
+def test_first_candidates_by_steps(spark):
+    from linkloom.functions.similarity import char_ngrams
+
+    rows = [(i, "x", t) for i, t in enumerate(["red widget co", "red widgets", "blue ring", "a ring", "a", "green lamp co", "lamp green", "ring blue x"])]
+    recs = spark.createDataFrame(rows, "id int, ckey string, t string")
+    import math
+
+    grams = {i: char_ngrams(t) for i, _, t in rows}
+    df = {g: sum(g in c for c in grams.values()) for c in grams.values() for g in c}
+    raw = {i: {g: (1 + math.log(n)) * (1 + math.log(9 / (1 + df[g]))) for g, n in c.items() if df[g] >= 2} for i, c in grams.items()}
+    unit = {i: {g: w / math.sqrt(sum(x * x for x in c.values())) for g, w in c.items()} for i, c in raw.items()}
+    got = {(x["s1_id"], x["o_id"]): x["score"] for x in B.tfidf_top(recs.where("id < 4"), recs.where("id >= 4"), "t", 10, 0.05, rows_per_tile=2).collect()}
+    want = {(a, b): s for a in range(4) for b in range(4, 8) if (s := sum(w * unit[b].get(g, 0) for g, w in unit[a].items())) >= 0.05}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_folds_refits_and_simulations(spark):
+    from linkloom.operators import learn as L
+
+    rows = [(f"s{i // 6}", f"o{i}", float(i % 6 == 0) + (i * 7 % 11) / 20, float(i % 5), int(i % 6 == 0), "c%d" % (i // 6 % 2)) for i in range(360)]
+    df = spark.createDataFrame(rows, "s1_id string, o_id string, x double, z double, label int, country string")
+    folds = L.balanced_folds(df, "s1_id", 4).groupBy("fold").count().collect()
+    assert {x["count"] for x in folds} == {15}
+    scored, models = L.grouped_oof(df, ["x", "z"], k=2, rounds=2)
+    assert scored.count() == 360 and M.roc_auc(scored, "p", "label").first()["auc"] > 0.9
+    assert len(L.refitted(df, ["x", "z"], models, (0, 1))) == 2 and L.importances(models[0], ["x", "z"])[0][0] == "x"
+    s1 = df.select("s1_id", F.col("country").alias("ckey")).distinct()
+    truth = df.where("label = 1").select("s1_id", "o_id")
+    pairs = df.drop("country")
+    apart = L.leave_one_out(df, ["x", "z"], "country", rounds=2)
+    assert apart.count() == 360
+    seen = L.unseen_groups(pairs, ["x", "z"], s1, truth, rounds=2, min_s1=5)
+    assert len(seen) == 4 and all(0.5 < x["macro_best"] <= 1 for x in seen)
+    gains = L.self_training_gain(pairs, ["x", "z"], s1, truth, rounds=2, min_s1=5, high=0.6, low=0.4)
+    assert len(gains) == 2 and all(x["positive_precision"] > 0.8 for x in gains)
+
+
+def test_text_scorer_is_trained_out_of_fold(spark):
+    rows = [(f"s{i}", f"o{i}{j}", f"{n} bakery | {i} main st", f"{n if j == 0 else 'other'} bakery | {i if j == 0 else i + 7} main st", int(j == 0)) for i, n in enumerate(["amber", "cedar", "lunar", "royal"] * 12) for j in (0, 1)]
+    pairs = spark.createDataFrame(rows, "s1_id string, o_id string, text_a string, text_b string, label int")
+    scored, scorers = V.cross_scores(pairs)
+    assert len(scorers) == 2 and M.roc_auc(scored, "ce_p", "label").first()["auc"] > 0.95
+    more, again = V.cross_scores(pairs, start=scorers)
+    assert more.count() == len(rows) and all(len(s.weights) == 6 for s in again)
+
+
+def test_reports(spark):
+    from linkloom.operators import reports as E
+    from linkloom.operators import stats as T
+
+    df = spark.createDataFrame([("x", "A&B Ltd", "near 12 Main 400001"), ("x", "ACME", ""), ("y", "Foo dba Bär", None)], "c string, n string, a string")
+    got = {r["c"]: r for r in E.character_profile(df, "c", "n", "a").collect()}
+    assert (got["x"]["ampersand"], got["x"]["capitals"], got["x"]["postcode"], got["x"]["landmark"], got["y"]["marker"], got["y"]["non_ascii"]) == (0.5, 0.5, 0.5, 0.5, 1.0, 1.0)
+    assert E.probe_estimate(0.5, 0.9, 0.5, 0.1) == pytest.approx(0.9)
+    lists = spark.createDataFrame([("1", "a,b"), ("2", "c")], "s1_id string, m string")
+    blank = E.blank_country(lists, spark.createDataFrame([("1", "x"), ("2", "y")], "s1_id string, ckey string"), "x", "m")
+    assert {r["s1_id"]: r["m"] for r in blank.collect()} == {"1": "", "2": "c"}
+    assert E.markdown(T.value_counts(df, "c").orderBy("bucket"), "Title").splitlines()[0] == "## Title"
+    s1, pairs, truth = frames(spark)
+    neg = E.random_negatives(s1.withColumnRenamed("s1_id", "id"), spark.createDataFrame([(f"o{i}", "c%d" % (i % 2)) for i in range(60)], "id string, ckey string"), truth)
+    assert 0 < neg.count() <= 30 and neg.join(truth, ["s1_id", "o_id"]).count() == 0

@@ -46,7 +46,7 @@ def test_steps_follow_their_input(spark, tmp_path):
 
 
 def test_first_generation(spark):
-    records, truth = business_lists(spark, 40, ["US", "India"], seed=3)
+    records, truth = business_lists(spark, 30, ["US", "India"], seed=3)
     got = first_generation(records, truth, folds=2, rounds=2)
     assert got["rule"]["score"] > 0.7 and got["ceiling"].first()["macro"] > 0.9 and len(got["models"]) == 3
 

@@ -386,14 +386,41 @@ def tokens_bigrams(spark, sf):
     return table(spark, sf, "part").select("p_name").distinct().select("p_name", F.array_join(N.bigrams(F.split(F.lower("p_name"), " "), "nb:"), ",").alias("bigrams"))
 
 
-@query()
+def _among(t: str, words) -> str:
+    return f"{t} IN ({', '.join(f"'{w}'" for w in words)})"
+
+
+def _step_sql(source: str) -> str:
+    """CTEs from ``source`` (k, name, addr) to ``prepared``: name tokens nt, core tokens core, address tokens places_raw, block tokens btok."""
+    legal = f"({_among('t', D.LEGAL_FORMS)} OR (len(t) >= 5 AND {_among(_skeleton_sql('t'), N.LEGAL_SKELETONS)}))"
+    left_out = f"{legal} OR {_among('t', [*D.NAME_NOISE, *D.COUNTRY_WORDS])} OR regexp_full_match(t, '[0-9]+')"
+    bare = "CASE WHEN ltrim({0}, '0') = '' THEN '0' ELSE ltrim({0}, '0') END"
+    two = "list_transform(range(1, len({0})), lambda i: '{1}' || {0}[i] || '_' || {0}[i + 1])"
+    return f"""src AS ({source}),
+toks AS (SELECT k, name, addr, list_transform(list_transform(list_filter(string_split({CLEAN_SQL.format(DOMAIN_SQL.format('name'))}, ' '), lambda t: t <> ''), lambda t: {LEET_SQL.format('t')}), lambda t: coalesce({sql_map(D.LEGAL_CANON)}[t], t)) AS nt,
+  list_transform(list_filter(string_split(array_to_string(list_transform(list_transform(string_split(addr, ','), lambda c: {CLEAN_SQL.format('c')}), lambda c: coalesce({sql_map(D.STATES)}[c], c)), ' '), ' '), lambda t: t <> ''), lambda t: coalesce({sql_map(D.ADDR_CANON)}[t], t)) AS places_raw FROM src),
+cores AS (SELECT *, CASE WHEN len(list_filter(nt, lambda t: NOT ({left_out}))) > 0 THEN list_filter(nt, lambda t: NOT ({left_out})) ELSE nt END AS core FROM toks),
+marks AS (SELECT *, list_transform(list_filter(core, lambda t: len(t) > 1), lambda t: {_skeleton_sql('t')}) AS names, array_to_string(core, '') AS solid,
+  list_transform(list_filter(places_raw, lambda t: len(t) > 1 OR regexp_full_match(t, '[0-9]+')), lambda t: CASE WHEN regexp_full_match(t, '[0-9]+') THEN '#' || {bare.format('t')} ELSE {_skeleton_sql('t')} END) AS places FROM cores),
+prepared AS (SELECT *, list_sort(list_distinct(list_transform(names, lambda t: 'n:' || t) || {two.format('names', 'nb:')} || CASE WHEN len(solid) >= 4 THEN ['ns:' || solid] ELSE [] END
+  || list_transform(places, lambda t: CASE WHEN t[1] = '#' THEN '#:' || substr(t, 2) ELSE 'a:' || t END) || {two.format('places', 'ab:')})) AS btok FROM marks)"""
+
+
+@query(f"WITH {_step_sql("SELECT p_partkey AS k, p_name AS name, p_size || ' ' || p_type || ', Michigan' AS addr FROM part")} SELECT k AS p_partkey, array_to_string(btok, ',') AS tokens FROM prepared")
 def tokens_block(spark, sf):
     core = N.core_tokens(N.name_tokens(F.col("p_name"), None, True))
     addr = N.address_tokens(F.concat(F.col("p_size").cast("string"), F.lit(" "), F.col("p_type"), F.lit(", Michigan")), None, True)
     return table(spark, sf, "part").select("p_partkey", F.array_join(N.block_tokens(core, addr), ",").alias("tokens"))
 
 
-@query()
+@query(
+    f"""WITH {_step_sql("SELECT 'S1-' || s_suppkey AS k, s_name || ' Private Limited' AS name, s_suppkey || ' Main Street, New York, 10001' AS addr FROM supplier")},
+runs AS (SELECT *, list_transform(regexp_extract_all(addr, '[0-9]+'), lambda d: CASE WHEN ltrim(d, '0') = '' THEN '0' ELSE ltrim(d, '0') END) AS runs FROM prepared)
+SELECT k AS entity_id, 'us' AS ckey, array_to_string(nt, ' ') AS n_name, array_to_string(core, ' ') AS c_name, array_to_string(places_raw, ' ') AS n_addr,
+  array_to_string(list_transform(core, lambda t: {_skeleton_sql('t')}), ' ') AS p_name, coalesce(list_filter(runs, lambda d: len(d) <= 5)[1], '') AS hn,
+  CASE WHEN regexp_extract(addr, '\\b([0-9]{{6}})\\b', 1) <> '' THEN regexp_extract(addr, '\\b([0-9]{{6}})\\b', 1) ELSE '10001' END AS pc,
+  array_to_string(list_sort(list_distinct(runs)), ',') AS nums, array_to_string(btok, ',') AS btok FROM runs"""
+)
 def prepared_records(spark, sf):
     raw = table(spark, sf, "supplier").select(F.concat(F.lit("S1-"), F.col("s_suppkey").cast("string")).alias("entity_id"), F.concat(F.col("s_name"), F.lit(" Private Limited")).alias("business_name"), F.concat(F.col("s_suppkey").cast("string"), F.lit(" Main Street, New York, 10001")).alias("business_address"), F.lit("US ").alias("country"))
     out = N.prepare_records(raw)

@@ -995,6 +995,9 @@ def keep_first(spark, sf):
     return I.keep_first(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
+UNFIT = f"(regexp_matches(t, '[0-9]') OR {_among('t', [*D.LEGAL_FORMS, *D.NAME_NOISE])})"
+
+
 @query(
     f"""WITH {BEST}, m AS (SELECT s1_id, o_id FROM best WHERE p >= 0.5),
 d AS (SELECT list_filter(a.toks, lambda t: NOT list_contains(b.toks, t)) AS l, list_filter(b.toks, lambda t: NOT list_contains(a.toks, t)) AS r FROM m JOIN rec a ON a.id = s1_id JOIN rec b ON b.id = o_id)
@@ -1006,7 +1009,17 @@ def synonym_changes(spark, sf):
     return Y.token_changes(m)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {BEST}, raw AS (SELECT doc_id AS id, text FROM documents),
+m AS (SELECT a.toks AS ta, b.toks AS tb, CASE WHEN regexp_matches(text, '[^\\x{{0}}-\\x{{24F}}]') THEN 1 ELSE 0 END AS script FROM best JOIN rec a ON a.id = s1_id JOIN rec b ON b.id = o_id JOIN raw ON raw.id = o_id WHERE p >= 0.5),
+d AS (SELECT script, list_filter(ta, lambda t: NOT list_contains(tb, t) AND NOT {UNFIT}) AS l, list_filter(tb, lambda t: NOT list_contains(ta, t) AND NOT {UNFIT} AND len(t) >= 2) AS r FROM m),
+each AS (SELECT l, script, unnest(r) AS b FROM d WHERE len(r) > 0 AND len(l) <= 3 AND len(r) <= 3),
+seen AS (SELECT b, count(*) AS seen, sum(script) / count(*) AS script_share FROM each GROUP BY b),
+both_ AS (SELECT b, a, count(*) AS n FROM (SELECT b, unnest(l) AS a FROM each) GROUP BY b, a),
+good AS (SELECT b, a, n, seen, script_share FROM both_ JOIN seen USING (b) WHERE n / seen >= 0.3),
+need AS (SELECT b AS x, a AS y FROM good){RATIO}
+SELECT b, a, n, seen, script_share FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY n DESC, a) AS place FROM good JOIN ratio ON x = b AND y = a WHERE script_share >= 0.5 OR r >= 50) WHERE place = 1"""
+)
 def synonym_mine(spark, sf):
     rec = records(spark, sf).select("id", "toks", "text")
     m = decided(spark, sf).join(rec.select(F.col("id").alias("s1_id"), F.col("toks").alias("ta")), "s1_id").join(rec.select(F.col("id").alias("o_id"), F.col("toks").alias("tb"), F.col("text").alias("raw_b")), "o_id")

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["block_token_df", "block_pairs_cosine", "block_union_merge", "embed_topk", "norm_basic_clean", "norm_numbers", "norm_postal", "sim_jaro_winkler", "win_best_other", "win_prefix_expected_f", "metric_macro_f05", "threshold_grid", "stat_spearman", "output_lists", "join_anti", "sim_weighted", "sim_partial", "first_tfidf_reverse", "norm_transliterate", "errors_examples", "stat_row_order", "folds", "truth_sizes"]
+FAST = ["block_token_df", "block_pairs_cosine", "block_union_merge", "embed_topk", "norm_basic_clean", "norm_numbers", "norm_postal", "sim_jaro_winkler", "win_best_other", "win_prefix_expected_f", "metric_macro_f05", "threshold_grid", "stat_spearman", "output_lists", "join_anti", "sim_weighted", "sim_partial", "first_tfidf_reverse", "norm_transliterate", "errors_examples", "stat_row_order", "folds", "truth_sizes", "tokens_block", "prepared_records"]
 
 
 @pytest.fixture(scope="module")

@@ -125,6 +125,9 @@ class Automaton:
         return out
 
 
+#: A window that many documents hold is dealt to so many keys.
+SALTS = 32
+
 _FOUND = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("passage", pa.int64())])
 
 
@@ -145,15 +148,16 @@ def _emit_passages(window: int, anchor: int):
     return run
 
 
-def _emit_windows(window: int, anchor: int, hot):
-    """(doc_id, window hash) of the windows under hot anchors."""
+def _emit_windows(window: int, anchor: int, hot=None):
+    """Rows (doc_id, text, anchors) -> (doc_id, window hash) of the windows under hot anchors: those of ``hot``, else the row's own."""
     schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
                 got = Passages(words_of(text.as_py()), window, anchor)
-                under = np.isin(got.anchor, hot.value)
+                known = hot.value if hot is not None else batch.column(2)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                under = np.isin(got.anchor, known)
                 if under.any():
                     grams = got.prefix.grams(window)
                     mine = np.unique(np.concatenate([grams[a : b + 1] for a, b in zip(got.first[under], got.last[under])]))
@@ -274,19 +278,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     told = shared.where("NOT hot").join(masks, ["anchor", "passage"]).where("doc_id > holder OR mask IS NOT NULL")
     told = told.groupBy("doc_id").agg(F.collect_list(F.struct("passage", F.when(F.col("doc_id") == F.col("holder"), F.col("mask")).alias("mask"))).alias("hits"))
 
-    # hot anchors in blocks of bounded size; none on most corpora
-    windows = None
-    n_hot = anchors.where(F.col("contexts") > hot).count()
-    blocks = -(-n_hot // hot_bound)
-    for b in range(blocks):
-        mine = anchors.where((F.col("contexts") > hot) & (F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == b)).select("anchor")
-        values = np.array([r[0] for r in mine.collect()], np.int64).view(np.uint64)  # about hot_bound numbers
-        block = named.mapInArrow(_emit_windows(window, anchor, spark.sparkContext.broadcast(values)), "doc_id long, hash long")
-        windows = block if windows is None else windows.unionByName(block)
-    if windows is not None:
+    # windows of hot anchors, none on most corpora; the anchors reach the texts by broadcast up to the bound, by documents beyond
+    crowded = anchors.where(F.col("contexts") > hot).select("anchor")
+    n_hot = crowded.count()
+    if n_hot:
+        if n_hot <= hot_bound:
+            values = np.array([r[0] for r in crowded.collect()], np.int64).view(np.uint64)
+            windows = named.mapInArrow(_emit_windows(window, anchor, spark.sparkContext.broadcast(values)), "doc_id long, hash long")
+        else:
+            holders = shared.where("hot").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+            windows = named.join(holders, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_emit_windows(window, anchor), "doc_id long, hash long")
         windows = scratch.save(windows, "windows")
-        first = windows.groupBy("hash").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).where("holder < last").select("hash", "holder")
-        repeated = windows.join(first, "hash").where("doc_id > holder").groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
+        windows = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        parts = windows.groupBy("hash", "salt").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"))
+        first = parts.groupBy("hash").agg(F.min("holder").alias("holder"), F.max("last").alias("last"), F.collect_list("salt").alias("salts")).where("holder < last")
+        first = first.select("hash", "holder", F.explode("salts").alias("salt"))
+        repeated = windows.join(first, ["hash", "salt"]).where("doc_id > holder").groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
         told = told.join(repeated, "doc_id", "full")
     else:
         told = told.withColumn("hashes", F.lit(None).cast("array<long>"))

@@ -38,13 +38,13 @@ def removed_by_brute_force(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
-def test_substring_dedup_by_brute_force(spark, hot):
+@pytest.mark.parametrize("hot, hot_bound", [(1000, 500_000), (1, 500_000), (1, 0)])
+def test_substring_dedup_by_brute_force(spark, hot, hot_bound):
     r = random.Random(3)
     shared = [prose(r, n) for n in (50, 51, 80, 200, 49)]
     rows = [(i, " ".join(x for k in range(3) for x in (prose(r, r.randrange(30)), r.choice(shared)))) for i in range(60)]
     rows += [(100, "for " * 120), (99, "for " * 70), (101, ""), (102, "a b\x0bc \x00d"), (103, rows[0][1]), (103, rows[1][1]), (104, prose(r, 30_000))]
-    got = substring_dedup.substring_dedup(frame(spark, [*rows, (105, None)]), hot=hot, shard_words=500)
+    got = substring_dedup.substring_dedup(frame(spark, [*rows, (105, None)]), hot=hot, hot_bound=hot_bound, shard_words=500)
     found = sorted((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got.collect())
     assert found == removed_by_brute_force([*rows, (105, None)], 50)
 

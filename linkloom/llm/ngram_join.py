@@ -15,6 +15,9 @@ whose prefixes are frequent tokens to the share ``crowded`` or more, since only
 once the known ones are last. Each step lists the ``hot_bound`` most frequent at most, which bounds the broadcast, and any
 list is right, as it only moves tokens in the order.
 
+What a token's group shares (its size, least and greatest node, centre) is a window over the token, but for tokens that
+were counted more than ``heavy`` times: those are pre-aggregated where their rows lie, and the one row a token is sent back.
+
 Edge cases: null, empty or blank text has an empty set and is linked with nothing; fewer than k words are one shingle; a
 null id takes part by its text, and a component's id is its smallest non-null id; rows sharing an id are judged by their
 own texts and sets; ties and repeated rows are equal sets; an empty table gives an empty result; other columns are ignored.
@@ -28,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import Prefix, Scratch, hash_words, mix64, release_shuffles, to_signed
@@ -182,7 +185,7 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     return labels if labels is not None else spark.createDataFrame([], "node long, label long")
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, orders: int = 3, rounds: int = 3, frequent: int = 24, crowded: float = 0.25, hot_bound: int = 1_000_000, broadcast_bound: int = 1_000_000) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, orders: int = 3, rounds: int = 3, frequent: int = 24, crowded: float = 0.25, heavy: int = 10_000, hot_bound: int = 1_000_000, broadcast_bound: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), n_class (documents with the same set), node, label
     (names the component, also where it has no id; null for the empty set)."""
     spark = docs.sparkSession
@@ -209,6 +212,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         counted, times = np.concatenate([times, often]), np.zeros(len(known), np.int64)
         np.maximum.at(times, where, counted)
     hot = spark.sparkContext.broadcast((known, np.clip(np.log2(np.maximum(times, 1)), 1, 63).astype(np.uint64)))
+    heaviest = to_signed(known[times > heavy])  # hot_bound tokens of each step at most
+    heaviest = spark.createDataFrame(pd.DataFrame({"token": heaviest}), "token long") if len(heaviest) else None
     scratch.drop("described")
     release_shuffles(spark)
 
@@ -219,8 +224,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = scratch.save(nodes, "nodes")
     release_shuffles(spark)
 
-    over = Window.partitionBy("token")
-    seen = nodes.select("node", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("at", "token")).withColumns({"low": F.min("node").over(over), "high": F.max("node").over(over), "df": F.count("*").over(over)})
+    seen = _beside(nodes.select("node", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("at", "token")), {"low": F.min("node"), "high": F.max("node"), "df": F.count("*")}, heaviest)
     postings = scratch.save(seen.where("low < high").drop("low", "high"), "shared")
     # nodes whose tokens are most shared lie in the middle of their group
     central = postings.groupBy("node").agg((F.sum("df") / F.first("p")).alias("central"))
@@ -256,8 +260,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         marked = postings if labels is None else postings.join(labels, "node", "left")
         marked = marked.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
         draw = F.xxhash64(F.lit(turn), "node").cast("double") if turn else -F.col("central")
-        centre = F.min(F.struct(draw.alias("draw"), "node", "label", "n")).over(over)
-        stars = marked.withColumn("centre", centre).where("centre.label <> label").groupBy(F.col("node").alias("b"), F.col("centre.node").alias("a"), F.col("n").alias("n_b"), F.col("centre.n").alias("n_a")).agg(F.count("*").alias("shared"))
+        centre = F.min(F.struct(draw.alias("draw"), "node", "label", "n"))
+        stars = _beside(marked, {"centre": centre}, heaviest).where("centre.label <> label").groupBy(F.col("node").alias("b"), F.col("centre.node").alias("a"), F.col("n").alias("n_b"), F.col("centre.n").alias("n_a")).agg(F.count("*").alias("shared"))
         # a centre that shares little is left to the last step
         stars = stars.where(sizes_fit & (F.col("shared") >= F.greatest(least_shared / 2, F.lit(0.02) * F.col("n_b"))))
         stars = scratch.save(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")), f"stars-{turn}")
@@ -267,7 +271,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         scratch.drop(f"texts-{turn}", f"stars-{turn}")
         release_shuffles(spark)
 
-    pairs = scratch.save(_cross_pairs(postings, labels, percent), "cross")
+    pairs = scratch.save(_cross_pairs(postings, labels, percent, heaviest), "cross")
     release_shuffles(spark)
     first = nodes.select("node", "n", "prefix")
     both = pairs.join(first.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("pa")), "a").join(first.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("pb")), "b")
@@ -292,16 +296,26 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 BUCKET = 1 / 0.95
 
 
-def _cross_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _beside(rows: DataFrame, told: dict[str, Column], heaviest: DataFrame | None) -> DataFrame:
+    """The rows with aggregates over their tokens beside them; the rows of the heaviest tokens stay where they are."""
+    over = Window.partitionBy("token")
+    if heaviest is None:
+        return rows.withColumns({name: column.over(over) for name, column in told.items()})
+    light = rows.join(F.broadcast(heaviest), "token", "left_anti").withColumns({name: column.over(over) for name, column in told.items()})
+    crowd = rows.join(F.broadcast(heaviest), "token", "left_semi")
+    each = crowd.groupBy("token").agg(*[column.alias(name) for name, column in told.items()])
+    return light.unionByName(crowd.join(F.broadcast(each), "token"))
+
+
+def _cross_pairs(postings: DataFrame, labels: DataFrame, percent: int, heaviest: DataFrame | None = None) -> DataFrame:
     """(a, b): nodes of different labels that can have their first shared token in both prefixes.
 
     A pair of sizes n >= m shares c = need - rest tokens of its prefixes at least, so the first of them stands c - 1 places
     before either prefix's end. Sizes fall into buckets of ratio 0.95; c is taken at the bucket's edge, which only lowers
     it; pairs that meet are held to their own sizes. Near copies of one size meet on their rarest tokens alone, so those that differ in rare tokens never meet.
     """
-    over = Window.partitionBy("token")
     own = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = own.withColumns({"low": F.min("label").over(over), "high": F.max("label").over(over), "least": F.min("n").over(over), "most": F.max("n").over(over)}).where("low < high")
+    mixed = _beside(own, {"low": F.min("label"), "high": F.max("label"), "least": F.min("n"), "most": F.max("n")}, heaviest).where("low < high")
     bucket = lambda n: F.floor(F.log(n) / float(np.log(BUCKET))).cast("int")
     edge = lambda b: F.exp(b * float(np.log(BUCKET)))
 

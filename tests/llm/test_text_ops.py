@@ -96,9 +96,9 @@ def test_ngram_components_by_brute_force(spark):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == components_by_brute_force(rows)
 
 
-@pytest.mark.parametrize("crowded", [0.25, 2.0])
-def test_ngram_components_in_a_crowd(spark, crowded):
-    """Many copies of one text on both sides of the threshold, with and without the second count of frequent tokens."""
+@pytest.mark.parametrize("crowded, heavy", [(0.25, 10_000), (0.25, 5), (2.0, 10_000)])
+def test_ngram_components_in_a_crowd(spark, crowded, heavy):
+    """Many copies of one text on both sides of the threshold, with and without the second count of frequent tokens and heavy tokens."""
     r = random.Random(8)
     base, rows = prose(r, 110).split(), []
     for i in range(60):
@@ -110,7 +110,7 @@ def test_ngram_components_in_a_crowd(spark, crowded):
     rows += [(100 + i, prose(r, 60) + " " + " ".join(base[:40])) for i in range(20)]
     want = components_by_brute_force(rows)
     assert len({c for _, c in want.values()}) > 25
-    got = ngram_join.ngram_components(frame(spark, rows), frequent=4, crowded=crowded)
+    got = ngram_join.ngram_components(frame(spark, rows), frequent=4, crowded=crowded, heavy=heavy)
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == want
 
 

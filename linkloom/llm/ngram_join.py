@@ -224,11 +224,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = scratch.save(nodes, "nodes")
     release_shuffles(spark)
 
-    seen = _beside(nodes.select("node", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("at", "token")), {"low": F.min("node"), "high": F.max("node"), "df": F.count("*")}, heaviest)
+    some_heavy = heaviest is not None
+    seen = nodes.select("node", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("at", "token"))
+    if some_heavy:
+        light, crowd = (seen.join(F.broadcast(heaviest), "token", kind) for kind in ("left_anti", "left_semi"))
+        seen = light.withColumn("heavy", F.lit(False)).unionByName(crowd.withColumn("heavy", F.lit(True)))
+    else:
+        seen = seen.withColumn("heavy", F.lit(False))
+    seen = _beside(seen, {"low": F.min("node"), "high": F.max("node"), "df": F.count("*")}, some_heavy)
     postings = scratch.save(seen.where("low < high").drop("low", "high"), "shared")
     # nodes whose tokens are most shared lie in the middle of their group
     central = postings.groupBy("node").agg((F.sum("df") / F.first("p")).alias("central"))
-    postings = scratch.save(postings.join(central, "node").select("token", "node", "n", "p", "at", "central"), "postings")
+    postings = scratch.save(postings.join(central, "node").select("token", "node", "n", "p", "at", "central", "heavy"), "postings")
     scratch.drop("shared")
     release_shuffles(spark)
 
@@ -261,7 +268,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         marked = marked.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
         draw = F.xxhash64(F.lit(turn), "node").cast("double") if turn else -F.col("central")
         centre = F.min(F.struct(draw.alias("draw"), "node", "label", "n"))
-        stars = _beside(marked, {"centre": centre}, heaviest).where("centre.label <> label").groupBy(F.col("node").alias("b"), F.col("centre.node").alias("a"), F.col("n").alias("n_b"), F.col("centre.n").alias("n_a")).agg(F.count("*").alias("shared"))
+        stars = _beside(marked, {"centre": centre}, some_heavy).where("centre.label <> label").groupBy(F.col("node").alias("b"), F.col("centre.node").alias("a"), F.col("n").alias("n_b"), F.col("centre.n").alias("n_a")).agg(F.count("*").alias("shared"))
         # a centre that shares little is left to the last step
         stars = stars.where(sizes_fit & (F.col("shared") >= F.greatest(least_shared / 2, F.lit(0.02) * F.col("n_b"))))
         stars = scratch.save(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")), f"stars-{turn}")
@@ -271,7 +278,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         scratch.drop(f"texts-{turn}", f"stars-{turn}")
         release_shuffles(spark)
 
-    pairs = scratch.save(_cross_pairs(postings, labels, percent, heaviest), "cross")
+    pairs = scratch.save(_cross_pairs(postings, labels, percent, some_heavy), "cross")
     release_shuffles(spark)
     first = nodes.select("node", "n", "prefix")
     both = pairs.join(first.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("pa")), "a").join(first.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("pb")), "b")
@@ -296,18 +303,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 BUCKET = 1 / 0.95
 
 
-def _beside(rows: DataFrame, told: dict[str, Column], heaviest: DataFrame | None) -> DataFrame:
-    """The rows with aggregates over their tokens beside them; the rows of the heaviest tokens stay where they are."""
+def _beside(rows: DataFrame, told: dict[str, Column], some_heavy: bool) -> DataFrame:
+    """The rows with aggregates over their tokens beside them; rows marked ``heavy`` stay where they are."""
     over = Window.partitionBy("token")
-    if heaviest is None:
-        return rows.withColumns({name: column.over(over) for name, column in told.items()})
-    light = rows.join(F.broadcast(heaviest), "token", "left_anti").withColumns({name: column.over(over) for name, column in told.items()})
-    crowd = rows.join(F.broadcast(heaviest), "token", "left_semi")
+    light = rows.where("NOT heavy").withColumns({name: column.over(over) for name, column in told.items()})
+    if not some_heavy:
+        return light
+    crowd = rows.where("heavy")
     each = crowd.groupBy("token").agg(*[column.alias(name) for name, column in told.items()])
     return light.unionByName(crowd.join(F.broadcast(each), "token"))
 
 
-def _cross_pairs(postings: DataFrame, labels: DataFrame, percent: int, heaviest: DataFrame | None = None) -> DataFrame:
+def _cross_pairs(postings: DataFrame, labels: DataFrame, percent: int, some_heavy: bool) -> DataFrame:
     """(a, b): nodes of different labels that can have their first shared token in both prefixes.
 
     A pair of sizes n >= m shares c = need - rest tokens of its prefixes at least, so the first of them stands c - 1 places
@@ -315,7 +322,7 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame, percent: int, heaviest:
     it; pairs that meet are held to their own sizes. Near copies of one size meet on their rarest tokens alone, so those that differ in rare tokens never meet.
     """
     own = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = _beside(own, {"low": F.min("label"), "high": F.max("label"), "least": F.min("n"), "most": F.max("n")}, heaviest).where("low < high")
+    mixed = _beside(own, {"low": F.min("label"), "high": F.max("label"), "least": F.min("n"), "most": F.max("n")}, some_heavy).where("low < high")
     bucket = lambda n: F.floor(F.log(n) / float(np.log(BUCKET))).cast("int")
     edge = lambda b: F.exp(b * float(np.log(BUCKET)))
 

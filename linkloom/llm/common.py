@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +74,39 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def narrow_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of ``rows`` rows at most for the jobs run inside: whole texts are wide, and a batch is held by the JVM
+    and by the Python worker of every task. The session's own limit comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(own)) if int(own) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
+def give_back() -> None:
+    """Return freed memory to the system; Python workers outlive their tasks and would hold it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over batches that gives its memory back at its end."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def to_signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64, copy=False).view(np.int64)
 

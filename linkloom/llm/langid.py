@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import give_back
+
 UNKNOWN = "und"
 
 
@@ -172,6 +174,8 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
     def known(texts):
         import pandas as pd
 
-        return pd.Series([(p := shared.value.predict(t))[0] != UNKNOWN and p[1] >= min_score for t in texts], dtype=bool)
+        out = pd.Series([(p := shared.value.predict(t))[0] != UNKNOWN and p[1] >= min_score for t in texts], dtype=bool)
+        give_back()
+        return out
 
     return docs.where(known(F.col(text_col)))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import Prefix, Scratch, hash_words, mix64, release_shuffles, to_signed
+from linkloom.llm.common import Prefix, Scratch, hash_words, mix64, narrow_batches, release_shuffles, tidy, to_signed
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -81,6 +81,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _describe(k: int, percent: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), k) for t in batch.column(1)]
@@ -94,6 +95,7 @@ def _prefix_arrays(k: int, percent: int, hot):
     """The first order's prefix of every set."""
     schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -111,6 +113,7 @@ def _crowded(known: np.ndarray, share: float):
     """(doc_id, node) of the sets whose prefix is frequent tokens to ``share`` or more; ``known``: sorted, broadcast."""
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
@@ -126,6 +129,7 @@ def _crowded(known: np.ndarray, share: float):
 
 
 def _tokens(k: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0):
@@ -137,6 +141,7 @@ def _tokens(k: int):
 def _verify(k: int, percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
 
@@ -188,6 +193,11 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, orders: int = 3, rounds: int = 3, frequent: int = 24, crowded: float = 0.25, heavy: int = 10_000, hot_bound: int = 1_000_000, broadcast_bound: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), n_class (documents with the same set), node, label
     (names the component, also where it has no id; null for the empty set)."""
+    with narrow_batches(docs.sparkSession):  # all jobs with Python run inside; the result is a plan over saved tables
+        return _components_of(docs, id_col, text_col, k, percent, orders, rounds, frequent, crowded, heavy, hot_bound, broadcast_bound)
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, orders: int, rounds: int, frequent: int, crowded: float, heavy: int, hot_bound: int, broadcast_bound: int) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -350,6 +360,7 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame, percent: int, some_heav
 
 
 def _with_node(k: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [set_key(shingles(t.as_py(), k)) for t in batch.column(1)]
@@ -363,6 +374,7 @@ def _own_text(k: int, percent: int, orders: int, hot):
     and its prefix under each order."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("text", pa.string()), ("prefixes", pa.list_(pa.list_(pa.int64())))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mask, sizes, prefixes = [], [], []

@@ -399,3 +399,14 @@ def test_word_hashes_by_range():
     p = common.Prefix(common.hash_words(words))
     g = p.grams(3)
     assert g[0] == g[3] and len(set(g.tolist())) == 4 and len(p.grams(8)) == 0
+
+
+def test_ngram_join_reads_texts_in_narrow_batches(spark, monkeypatch):
+    """Its jobs hold batches of 1,000 rows at most, and the session's limit is back afterwards."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    own, save = spark.conf.get(key), ngram_join.Scratch.save
+    monkeypatch.setattr(ngram_join.Scratch, "save", lambda self, *a, **b: (seen.append(int(spark.conf.get(key))), save(self, *a, **b))[1])
+    docs = spark.createDataFrame([(i, f"a b c d e f{i // 2}") for i in range(6)], "doc_id long, text string")
+    rows = ngram_join.ngram_components(docs).collect()
+    assert [r["component_id"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [0, 0, 2, 2, 4, 4]
+    assert seen and max(seen) <= 1000 and spark.conf.get(key) == own

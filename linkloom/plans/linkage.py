@@ -143,7 +143,7 @@ class Linkage:
         named = lambda d: vectors.encode_distinct(d.select(F.col("entity_id").alias("id"), "ckey", F.col("c_name").alias("t")), "t", encoder=self.encoder).drop("t")
 
         def make() -> DataFrame:
-            pairs = blocking.top_both_ways(blocking.cosine_pairs(side(s1), side(others), cap=self.df_cap, share=self.df_share), self.k_rev, self.k_fwd)
+            pairs = blocking.cosine_top(side(s1), side(others), self.k_rev, self.k_fwd, cap=self.df_cap, share=self.df_share)
             find = vectors.nearest_indexed if s1.count() > self.indexed_above else vectors.nearest
             return blocking.merge_candidates(pairs, find(named(s1), named(others), self.k_emb))
 
